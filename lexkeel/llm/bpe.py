@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, table
 
 CHUNK, OVERLAP = 32_768, 1_024
 _U32 = np.dtype("<u4")
@@ -90,10 +90,9 @@ def _encoder(ranks_path: str):
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, keep: list[str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``keep`` columns of ``docs`` (all by default) plus ``ids`` binary."""
+    """``keep`` columns of ``docs`` (by default all that have other names) plus ``ids`` binary."""
     ranks_path = ranks_path or default_ranks()
-    keep = docs.columns if keep is None else keep
-    carried = [F.col(f"`{c}`") for c in keep]
+    carried = kept(docs, keep, ["ids"])
     schema = docs.select(*carried, F.lit(b"").alias("ids")).schema
     text = F.coalesce(docs["text"], F.lit(""))
     short = docs.where(F.length(text) <= chunk + overlap).select(*carried, text.alias("__text"))
@@ -136,10 +135,9 @@ def in_order_hex(ids: str):
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``encoded`` (all by default, ``ids`` included) plus ``bytes`` binary."""
+    """``keep`` columns of ``encoded`` (by default all that have other names, ``ids`` included) plus ``bytes`` binary."""
     ranks_path = ranks_path or default_ranks()
-    keep = encoded.columns if keep is None else keep
-    carried = [F.col(f"`{c}`") for c in keep]
+    carried = kept(encoded, keep, ["bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path)

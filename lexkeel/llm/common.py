@@ -64,3 +64,9 @@ def words_of(text: Column) -> Column:
 
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def kept(df: DataFrame, keep: list[str] | None, made: list[str]) -> list[Column]:
+    """Columns to carry along: ``keep``, or all but those whose name an operator is about to make."""
+    names = [c for c in df.columns if c.lower() not in made] if keep is None else keep
+    return [F.col(f"`{c}`") for c in names]

@@ -15,7 +15,7 @@ Scores are cosines of the original vectors in double precision; the graph itself
 
 Edge cases: vectors that are null, zero, of another dimension than their
 shard's queries or holding null or non-finite components take no part; a query with fewer candidates returns them all; ties go to the smaller id;
-rows repeating the query's id are its own row; an empty table gives an empty result; other columns are ignored.
+rows with the query's id are its own row; repeated rows count once; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -203,7 +203,7 @@ def usable(v: Column) -> Column:
 
 def build_index(rows: DataFrame, k: int, p: Hnsw = Hnsw()) -> DataFrame:
     """``rows`` (vec_id, embedding) as shards: a row of ``INDEX`` each, stored in the shared folder."""
-    v = rows.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding")
+    v = rows.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding").distinct()
     v = v.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1).drop("n")
     v = materialize(v, "hnsw-vectors")
     shards = max(1, -(-v.count() // p.shard_rows))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, table
 
 LONGEST = 4096
 END = 2
@@ -104,9 +104,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None =
     if longest & (longest - 1) or longest < 1:
         raise ValueError("the longest sequence must be a power of two")
     path = tokenizer or default_tokenizer()
-    keep = docs.columns if keep is None else keep
-    carried = [F.col(f"`{c}`") for c in keep]
     made = {"start": "long", "length": "long", "ids": "binary", "doc_tokens": "long", "bucket": "int"}
+    carried = kept(docs, keep, [*made, "sequence_id", "offset"])
     schema = docs.select(*carried, *[F.lit(None).cast(t).alias(c) for c, t in made.items()]).schema
     end = np.array([END], "<u4").tobytes()
 

@@ -12,7 +12,7 @@ wherever the next character can't belong to it. They match the same spans as the
 Positions come from the gaps between matches: the lengths of gaps and matches are summed up in two levels, so many matches in
 one text stay affordable.
 
-Edge cases: a null text counts as empty and has no span; failing matches are dropped without a retry; overlapping spans of different kinds
+Edge cases: a null text has no span and stays null in ``redact``; failing matches are dropped without a retry; overlapping spans of different kinds
 all count, and ``redact`` replaces their union once; repeated rows each get a row; an empty table gives an empty result;
 input columns are carried as they are.
 """

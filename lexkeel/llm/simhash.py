@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import kept, materialize, table
 from .graph import stars
 
 RADIUS = 2
@@ -59,9 +59,8 @@ def simhash(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (all by default) plus ``fp`` long. Reads whole texts; no shuffle."""
-    keep = docs.columns if keep is None else keep
-    carried = [F.col(f"`{c}`") for c in keep]
+    """``keep`` columns of ``docs`` (by default all that have other names) plus ``fp`` long. Reads whole texts; no shuffle."""
+    carried = kept(docs, keep, ["fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import kept, table
 
 _WORD = re.compile(r"\w+")
 _CACHE_WORDS = 300_000
@@ -194,11 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Ftrl = Ftrl(), keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (all of them by default) plus ``score`` double and ``predicted`` int."""
+    """``keep`` columns of ``docs`` (by default all that have other names) plus ``score`` double and ``predicted`` int."""
     spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
+    carried = kept(docs, keep, ["score", "predicted"])
     bits, sent = p.bits, spark.sparkContext.broadcast((np.asarray(model[0], np.int64), np.asarray(model[1], np.float64)))
-    rest = docs.select(*[F.col(f"`{c}`") for c in keep], docs["text"].alias("__scored_text"))
+    rest = docs.select(*carried, docs["text"].alias("__scored_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = sent.value
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Ftrl = Ftrl(
             s = score_texts(b.column(b.num_columns - 1).to_pylist(), weights, bits, hashes) if len(at) else np.full(b.num_rows, PRIOR)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    schema = docs.select(*carried, F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
     return rest.mapInArrow(run, schema)
 
 
