@@ -32,7 +32,8 @@ from .common import kept, table
 
 LONGEST = 4096
 END = 2
-_REMEMBERED = 400_000
+#: Words remembered in each of two generations.
+_REMEMBERED = 500_000
 _OUT_BYTES = 4_000_000
 
 
@@ -51,7 +52,10 @@ class Words:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.four = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
         #: What the file's split pattern says, for the characters that ``odd`` leaves.
         self.split = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
         #: Any character outside a set whose classes, case and normal form no library or Unicode version disputes.
@@ -64,7 +68,7 @@ class Words:
     def _word(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tok.model.tokenize(word)], "<u4").tobytes()
+        return b"".join([self.four[t.id] for t in self.model.tokenize(word)])
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
@@ -76,11 +80,13 @@ class Words:
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
-            if len(known) > _REMEMBERED:
-                known.clear()
+            if len(known) > _REMEMBERED:  # what is still in use moves over from the older generation
+                self.known, self.older = {}, known
+                known = self.known
+            older = self.older
             for w in words:
                 if w not in known:
-                    known[w] = self._word(w)
+                    known[w] = older[w] if w in older else self._word(w)
             return b"".join(map(known.__getitem__, words))
 
 
