@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -72,38 +72,55 @@ def token_starts(text: str, last: bool) -> list[int]:
     return [p for m in _pattern().finditer(text) if 0 < (p := m.start()) <= limit and text[p - 1] < "\x80" and text[p] < "\x80"]
 
 
-def _encode_column(texts: list[str | None], ranks_path: str) -> pa.Array:
-    enc = encoding(ranks_path)
-    return pa.array([np.asarray(enc.encode_ordinary(t), _U32).tobytes() if t else b"" for t in texts], pa.binary())
+_ROWS = 256
+Batches = Iterator[pa.RecordBatch]
 
 
-def _encoder(ranks_path: str):
-    """Replaces the last column, a text, by the binary ids; a bounded number of rows at a time."""
+def _columns(of: Callable[[list], dict[str, pa.Array]], rows: int = _ROWS) -> Callable[[Batches], Batches]:
+    """A batch function that replaces the last column by those that ``of`` makes of its values, a bounded number of rows at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), 256):
-                b = whole.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _encode_column(b.column(b.num_columns - 1).to_pylist(), ranks_path)], [*b.schema.names[:-1], "ids"])
+            for at in range(0, max(whole.num_rows, 1), rows):
+                b = whole.slice(at, rows)
+                made = of(b.column(b.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made.values()], [*b.schema.names[:-1], *made])
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, keep: list[str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``keep`` columns of ``docs`` (by default all that have other names) plus ``ids`` binary."""
+def encoder(ranks_path: str) -> Callable[[Batches], Batches]:
+    """Texts to ``ids``."""
+    one = lambda t: np.asarray(encoding(ranks_path).encode_ordinary(t), _U32).tobytes() if t else b""
+    return _columns(lambda texts: {"ids": pa.array(map(one, texts), pa.binary())})
+
+
+def decoder(ranks_path: str) -> Callable[[Batches], Batches]:
+    """``ids`` to their raw ``bytes``."""
+    one = lambda x: encoding(ranks_path).decode_bytes(np.frombuffer(x, _U32).tolist()) if x else b""
+    return _columns(lambda ids: {"bytes": pa.array(map(one, ids), pa.binary())})
+
+
+def encode(docs: DataFrame, ranks_path: str | None = None, keep: list[str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, then: Callable[[Batches], Batches] | None = None, made: str = "ids binary") -> DataFrame:
+    """``keep`` columns of ``docs`` (by default all that have other names) plus ``ids`` binary.
+
+    ``then``, a batch function that replaces ``ids`` by the columns ``made``, runs in the encoding worker itself
+    wherever a text's ids are whole there.
+    """
     ranks_path = ranks_path or default_ranks()
     carried = kept(docs, keep, ["ids"])
-    schema = docs.select(*carried, F.lit(b"").alias("ids")).schema
+    schema = docs.select(*carried, *[F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in made.split(", "))]).schema
+    ids_of, last = encoder(ranks_path), then or (lambda batches: batches)
     text = F.coalesce(docs["text"], F.lit(""))
     short = docs.where(F.length(text) <= chunk + overlap).select(*carried, text.alias("__text"))
-    done = short.mapInArrow(_encoder(ranks_path), schema)
+    done = short.mapInArrow(lambda batches: last(ids_of(batches)), schema)
 
     long = docs.where(F.length(text) > chunk + overlap).select(F.struct(*carried).alias("row"), F.monotonically_increasing_id().alias("key"), text.alias("text"))
     n = F.ceil(F.length("text") / chunk).cast("int")
     chunks = long.select("row", "key", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
     chunks = chunks.select("row", "key", "n", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Batches) -> Batches:
         for b in batches:
             head, tail = [], []
             for k, n, t in zip(b.column("k").to_pylist(), b.column("n").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -122,16 +139,13 @@ def encode(docs: DataFrame, ranks_path: str | None = None, keep: list[str] | Non
     piece = F.substring("text", F.col("from") - F.col("k") * chunk + 1, F.coalesce(F.col("to"), F.lit(2**31 - 1)) - F.col("from"))
     # A text that can't be stitched travels as its plain chunks, and is joined before it is encoded.
     pieces = stitched.select("key", "k", "row", "broken", F.when(F.col("broken"), F.substring("text", 1, F.when(F.col("k") < F.col("n") - 1, F.lit(chunk)).otherwise(F.lit(2**31 - 1)))).otherwise(piece).alias("text"))
-    encoded = pieces.where(~F.col("broken")).select("key", "k", "row", "text").mapInArrow(_encoder(ranks_path), pieces.select("key", "k", "row", F.lit(b"").alias("ids")).schema)
-    # concat has no form for an array of binaries, so the joined hexadecimal digits are turned back.
-    whole = encoded.groupBy("key").agg(F.first("row").alias("row"), F.unhex(F.array_join(in_order_hex("ids"), "")).alias("ids")).select("row.*", "ids")
-    rest = pieces.where("broken").groupBy("key").agg(F.first("row").alias("row"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("__text")).select("row.*", "__text")
-    return done.unionByName(whole).unionByName(rest.mapInArrow(_encoder(ranks_path), schema))
-
-
-def in_order_hex(ids: str):
-    """Hexadecimal ids of the pieces of a text, in the order of ``k``."""
-    return F.transform(F.sort_array(F.collect_list(F.struct("k", F.hex(ids).alias("h")))), lambda x: x["h"])
+    encoded = pieces.where(~F.col("broken")).select("key", "k", "row", "text").mapInArrow(ids_of, pieces.select("key", "k", "row", F.lit(b"").alias("ids")).schema)
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", c.alias("v")))), lambda x: x["v"]), "")
+    # concat has no form for an array of binaries, so hexadecimal digits are joined and turned back.
+    whole = encoded.groupBy("key").agg(F.first("row").alias("row"), F.unhex(joined(F.hex("ids"))).alias("ids")).select("row.*", "ids")
+    whole = whole.mapInArrow(then, schema) if then else whole
+    rest = pieces.where("broken").groupBy("key").agg(F.first("row").alias("row"), joined(F.col("text")).alias("__text")).select("row.*", "__text")
+    return done.unionByName(whole).unionByName(rest.mapInArrow(lambda batches: last(ids_of(batches)), schema))
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -139,40 +153,29 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, keep: list[str] |
     ranks_path = ranks_path or default_ranks()
     carried = kept(encoded, keep, ["bytes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(ranks_path)
-        for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), 256):
-                b = whole.slice(at, 256)
-                raw = [enc.decode_bytes(np.frombuffer(x, _U32).tolist()) if x else b"" for x in b.column(b.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(raw, pa.binary())], [*b.schema.names[:-1], "bytes"])
+    return encoded.select(*carried, F.col("ids").alias("__ids")).mapInArrow(decoder(ranks_path), encoded.select(*carried, F.lit(b"").alias("bytes")).schema)
 
-    return encoded.select(*carried, F.col("ids").alias("__ids")).mapInArrow(run, encoded.select(*carried, F.lit(b"").alias("bytes")).schema)
 
+DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-def ids_text_digest(encoded: DataFrame, keep: list[str]) -> DataFrame:
-    """SHA-256 of the decimal ids of a row, joined by spaces."""
-    carried = [F.col(f"`{c}`") for c in keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[str] = []
-        for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), 256):
-                b = whole.slice(at, 256)
-                out = []
-                for x in b.column(b.num_columns - 1).to_pylist():
-                    ids = np.frombuffer(x or b"", _U32)
-                    if len(ids) and int(ids.max()) >= len(names):
-                        names += map(str, range(len(names), int(ids.max()) + 1))
-                    out.append(hashlib.sha256(" ".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], [*b.schema.names[:-1], "ids_sha256"])
+def digests(ranks_path: str) -> Callable[[Batches], Batches]:
+    """``ids`` to their number, the SHA-256 of their decimal forms joined by spaces, and that of the bytes that they decode to."""
+    names: list[str] = []
+
+    def of(rows: list) -> dict[str, pa.Array]:
+        if not names:
+            names.extend(map(str, range(encoding(ranks_path).n_vocab)))
+        n, texts, raw = [], [], []
+        for x in rows:
+            ids = np.frombuffer(x or b"", _U32).tolist()
+            n.append(len(ids))
+            texts.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+            raw.append(hashlib.sha256(encoding(ranks_path).decode_bytes(ids)).hexdigest())
+        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(texts, pa.string()), "decoded_sha256": pa.array(raw, pa.string())}
 
-    return encoded.select(*carried, F.col("ids").alias("__ids")).mapInArrow(run, encoded.select(*carried, F.lit("").alias("ids_sha256")).schema)
+    return _columns(of)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    both = decode(ids)
-    n = (F.octet_length("ids") / 4).cast("long")
-    narrow = both.select("doc_id", n.alias("n_tokens"), F.sha2("bytes", 256).alias("decoded_sha256"), "ids")
-    return ids_text_digest(narrow, ["doc_id", "n_tokens", "decoded_sha256"]).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode(table(spark, sf_dir, "documents"), keep=["doc_id"], then=digests(default_ranks()), made=DIGEST)
