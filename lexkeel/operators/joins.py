@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 
 def last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
+    """The last row of each key; of rows with equal order that of the greatest other values (maps aside, they have no order)."""
     values = [c for c in rows.columns if c not in key]
-    best = rows.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(order, *[c for c in values if c != order])).alias("v"))
+    ranked = [order, *[c for c, kind in rows.dtypes if c in values and c != order and "map<" not in kind]]
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(*ranked)).alias("v"))
     return best.select(*key, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
