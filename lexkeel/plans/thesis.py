@@ -43,11 +43,12 @@ FACTS = {
     "cls": "string", "protected": "array<struct<pos:int,path:string,expected:string,actual:string>>", "forbidden": "array<struct<pos:int,pattern:string,message:string>>",
     "bib": "array<struct<pos:int,key:string,entry_type:string,fields:map<string,string>>>", "log": "struct<status:string,log:string,chktex_available:boolean,chktex_returncode:int>",
     "pdf_pages": "array<int>", "figure_pages": "array<struct<no:int,caption_page:int,ref_page:int>>",
+    "fonts_ok": "boolean", "headings_ok": "boolean", "spacing_ok": "boolean", "margins_ok": "boolean", "margin_page": "int",
 }
 
 
-def facts(spark: SparkSession, projects: DataFrame, sections: DataFrame, files: DataFrame | None = None, bib: DataFrame | None = None, protected: DataFrame | None = None, forbidden: DataFrame | None = None, logs: DataFrame | None = None, pages: DataFrame | None = None, figure_pages: DataFrame | None = None) -> DataFrame:
-    """One row a project. Tables that are not given leave their facts null."""
+def facts(spark: SparkSession, projects: DataFrame, sections: DataFrame, files: DataFrame | None = None, bib: DataFrame | None = None, protected: DataFrame | None = None, forbidden: DataFrame | None = None, logs: DataFrame | None = None, pages: DataFrame | None = None, figure_pages: DataFrame | None = None, typography: DataFrame | None = None) -> DataFrame:
+    """One row a document: a LaTeX project, or a PDF alone. Tables that are not given leave their facts null."""
     from ..operators.joins import last_wins
 
     def gather(df: DataFrame, out: str, *cols: str) -> DataFrame:
@@ -68,7 +69,11 @@ def facts(spark: SparkSession, projects: DataFrame, sections: DataFrame, files:
         parts.append(pages.groupBy("doc_id").agg(F.array_sort(F.collect_list("number")).alias("pdf_pages")))
     if figure_pages is not None:
         parts.append(gather(figure_pages, "figure_pages", "no", "caption_page", "ref_page"))
+    if typography is not None:
+        parts.append(typography)
     out = projects.drop("headings", "read", "expanded")
+    if pages is not None:
+        out = out.join(pages.select("doc_id").distinct(), "doc_id", "full")
     for p in parts:
         out = out.join(p, "doc_id", "left")
     missing = {k: F.lit(None).cast(t) for k, t in FACTS.items() if k not in out.columns}
@@ -408,10 +413,26 @@ def _figure_places() -> Column:
     return F.when(F.size(late) > 0, one("warn", F.concat(F.lit("figures far behind their mention: "), F.array_join(F.transform(late, lambda f: f["no"].cast("string")), ", ")), "warn")).otherwise(one("pass", "figures follow their mention"))
 
 
+def class_pdf(class_ok: Column, pdf_ok: str, what: str, page: Column | None = None) -> Column:
+    """The class is asked where there is a source, the PDF must answer where it is all there is."""
+    source = F.col("main").isNotNull()
+    return (
+        F.when(source & class_ok.eqNullSafe(F.lit(False)), one("fail", f"{what}: the class does not set it"))
+        .when(F.col(pdf_ok).eqNullSafe(F.lit(False)), one("fail", f"{what}: the PDF breaks it", page=page))
+        .when(source & class_ok.isNull(), one("unverifiable", f"{what}: no protected class"))
+        .when(~source & F.col(pdf_ok).isNull(), one("unverifiable", f"{what}: the PDF does not tell"))
+        .otherwise(one("pass", what))
+    )
+
+
 _has_pages = lambda: F.col("pdf_pages").isNotNull()
 
 RULES = [
     _simple("SYS-01", "L", _protected), _simple("SYS-02", "L", _preamble), _simple("SYS-03", "L", build_outcomes),
+    _simple("FMT-01", "", lambda: class_pdf(F.when(F.col("cls").isNotNull(), F.col("cls").rlike(r"\\(?:RequirePackage|usepackage)\s*\{fontspec\}") & F.col("cls").rlike(r"(?i)Times\s*New\s*Roman")), "fonts_ok", "body font")),
+    _simple("FMT-02", "", lambda: class_pdf(class_has(r"\\(?:RequirePackage|usepackage)\s*\{titlesec\}|\\titleformat\b"), "headings_ok", "bold headings")),
+    _simple("FMT-03", "", lambda: class_pdf(class_has(r"\\onehalfspacing\b|\\linespread\s*\{\s*1\.5\s*\}"), "spacing_ok", "line spacing")),
+    _simple("FMT-05", "", lambda: class_pdf(class_has(r"(?is)left\s*=\s*30\s*mm.*right\s*=\s*10\s*mm.*top\s*=\s*20\s*mm.*bottom\s*=\s*20\s*mm"), "margins_ok", "margins", F.col("margin_page"))),
     _simple("FMT-04", "", lambda: F.when(F.col("main").isNull(), one("unverifiable", "parindent: no source")).otherwise(class_rule("paragraph indent", r"(?i)\\setlength\s*\{?\s*\\parindent\s*\}?\s*\{\s*12[.,]5\s*mm\s*\}|\\parindent\s*=?\s*12[.,]5\s*mm"))),
     _simple("FIG-01", "L", _figure_places, applies=lambda: F.col("figure_pages").isNotNull()),
     _simple("FIG-02", "L", lambda: labelled(["figure"], "fail", "figure")),
