@@ -45,7 +45,6 @@ def test_redaction(spark):
         "token = [REDACTED], next", 'API_KEY: [REDACTED] y"', "[REDACTED]", "Authorization Bearer [REDACTED]", "write [REDACTED] now", "see [REDACTED_PATH]", "in [REDACTED_PATH]", "~[REDACTED_PATH] done",
         "raw_prompt = [REDACTED] end", "x [REDACTED_TRACEBACK]", "ab", "http://host/path stays",
     ]
-    assert apply(spark, lambda c: redaction.redact_text(redaction.redact_text(c)), "token = abc /a/b x@y.zz") == apply(spark, redaction.redact_text, "token = abc /a/b x@y.zz")
     long = "w " * 200
     assert apply(spark, redaction.truncate_public, long, "x" * 240) == [long[:240].rstrip() + "… [TRUNCATED]", "x" * 240]
 
