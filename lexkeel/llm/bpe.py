@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, small_batches, table
 
 CHUNK, OVERLAP = 32_768, 1_024
 _U32 = np.dtype("<u4")
@@ -107,6 +107,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, keep: list[str] | Non
     ``then``, a batch function that replaces ``ids`` by the columns ``made``, runs in the encoding worker itself
     wherever a text's ids are whole there.
     """
+    small_batches(docs.sparkSession)
     ranks_path = ranks_path or default_ranks()
     carried = kept(docs, keep, ["ids"])
     schema = docs.select(*carried, *[F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in made.split(", "))]).schema
@@ -150,6 +151,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, keep: list[str] | Non
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``encoded`` (by default all that have other names, ``ids`` included) plus ``bytes`` binary."""
+    small_batches(encoded.sparkSession)
     ranks_path = ranks_path or default_ranks()
     carried = kept(encoded, keep, ["bytes"])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 
 _ESCAPE = re.compile(r"[\\<>]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
@@ -67,6 +67,7 @@ def tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     Nodes: ``node``, ``start`` and ``end`` (offsets in the stream), ``position`` (the position id of its first unit), ``text`` (formatted), ``loss_start``
     and ``loss_end`` (the masked part, equal if none). Turns: ``conv_id``, ``depth``, ``node``.
     """
+    small_batches(conversations.sparkSession)
     rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     gathered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     kind = "conv_id long, path array<binary>, texts array<string>, lens array<long>, loss array<struct<a:long,b:long>>"

@@ -47,6 +47,17 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch at most: whole texts are rows here, so Spark's own 10,000 would make batches of many MB in and outside the heap.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS``; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also inside lambdas of ``body``."""
     return F.transform(F.array(value), body)[0]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, small_batches, table
 
 LONGEST = 4096
 END = 2
@@ -109,6 +109,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None =
     ``bucket`` (the exponent of its length), ``sequence_id`` and ``offset``."""
     if longest & (longest - 1) or longest < 1:
         raise ValueError("the longest sequence must be a power of two")
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     made = {"start": "long", "length": "long", "ids": "binary", "doc_tokens": "long", "bucket": "int"}
     carried = kept(docs, keep, [*made, "sequence_id", "offset"])

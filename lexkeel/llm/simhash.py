@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, materialize, table
+from .common import kept, materialize, small_batches, table
 from .graph import stars
 
 RADIUS = 2
@@ -60,6 +60,7 @@ def simhash(text: bytes) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (by default all that have other names) plus ``fp`` long. Reads whole texts; no shuffle."""
+    small_batches(docs.sparkSession)
     carried = kept(docs, keep, ["fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

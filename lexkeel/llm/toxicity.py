@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, small_batches, table
 
 _WORD = re.compile(r"\w+")
 _CACHE_WORDS = 300_000
@@ -163,6 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
     ids is narrow and bounded (``train_rows`` of a class), so its join may broadcast; the texts of
     the sample meet in one task, which trains.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.xxhash64("doc_id")
@@ -196,6 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Ftrl = Ftrl(), keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` (by default all that have other names) plus ``score`` double and ``predicted`` int."""
     spark = docs.sparkSession
+    small_batches(spark)
     carried = kept(docs, keep, ["score", "predicted"])
     bits, sent = p.bits, spark.sparkContext.broadcast((np.asarray(model[0], np.int64), np.asarray(model[1], np.float64)))
     rest = docs.select(*carried, docs["text"].alias("__scored_text"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cores, materialize, new_path, table
+from .common import cores, materialize, new_path, small_batches, table
 
 MIN_REVISIT = 100
 PACKAGE_BYTES = 64 << 20
@@ -283,6 +283,7 @@ def read_records(ranges: DataFrame, at: str) -> DataFrame:
 def round_trip(pages: DataFrame, zip64: bool = False) -> DataFrame:
     """Writes the pages as packages in the shared folder and reads them back."""
     spark = pages.sparkSession
+    small_batches(spark)
     to = new_path(spark, "warc")
     manifest = materialize(write_archives(plan_revisits(pages), to, zip64), "warc-manifest")
     ranges = materialize(locate(manifest.repartition(cores(spark), "path"), to), "warc-ranges")
