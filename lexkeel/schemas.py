@@ -8,7 +8,7 @@ EVIDENCE = "array<struct<locator:string,description:string>>"
 FILES = "doc_id string, path string, sha256 string, content binary"
 SOURCE_TEXTS = "doc_id string, path string, sha256 string, text string"
 HEADINGS = "doc_id string, title string, level int, char_start int, page int, origin string"
-SECTIONS = "doc_id string, section_id string, title string, kind string, level int, char_start int, char_end int, page_start int, page_end int, locator string"
+SECTIONS = "doc_id string, section_id string, title string, norm string, kind string, level int, char_start int, char_end int, page_start int, page_end int, locator string"
 CHUNKS = "doc_id string, section_id string, seq int, chunk_id string, text string, token_count int, char_start int, content_start int, char_end int, overlap_chars int, locator string"
 BIB_ENTRIES = "doc_id string, pos int, key string, entry_type string, fields map<string,string>"
 PDF_PAGES = "doc_id string, number int, width double, height double, rotation int"
