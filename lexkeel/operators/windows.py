@@ -125,3 +125,18 @@ def chunks(sections: DataFrame, keys: list[str], budget: int = 800, overlap_rati
 
     schema = sections.select(*keys, *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in CHUNK.split(", ")]).schema
     return sections.select(*keys, F.col("text").alias("__text")).mapInArrow(run, schema)
+
+
+def quote_spans(text: Column, limit: int = 4) -> Column:
+    """Fragments of at most ``limit`` words that end at line ends and sentence marks, in order.
+
+    The text is cut where a fragment must end; inside, words are taken ``limit`` at a time.
+    """
+    pieces = F.split(text, r"(?<=[.!?;])\s+|\s*\n\s*")
+
+    def cut(piece: Column) -> Column:
+        words = F.regexp_extract_all(piece, F.lit(r"\S+\s*"), F.lit(0))
+        n = F.greatest(F.ceil(F.size(words) / limit).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.rtrim(F.array_join(F.slice(words, i * limit + 1, F.lit(limit)), "")))
+
+    return F.filter(F.flatten(F.transform(pieces, cut)), lambda s: s != "")

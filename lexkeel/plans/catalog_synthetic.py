@@ -207,3 +207,13 @@ def advisory_disabled(spark, sf_dir):
     digests = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("digest"))
     rows = advisory.conclude(planned, advisory.disabled(planned), digests)
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin("pass", "warn", "info", "fail")).alias("assessed"))
+
+
+@register("quote_spans", r"""
+SELECT doc_id, len(list_filter(string_split_regex(text, '\n'), lambda l: trim(l) <> ''))::INT AS lines, sha256(array_to_string(regexp_extract_all(text, '\S+'), ' ')) AS words FROM documents""")
+def quote_spans(spark, sf_dir):
+    """Fragments hold every word once and in order; there are at least as many as filled lines."""
+    spans = W.quote_spans(F.col("text"))
+    words = F.regexp_extract_all(F.array_join(spans, " "), F.lit(r"\S+"), F.lit(0))
+    filled = F.size(F.filter(F.split("text", "\n", -1), lambda s: F.trim(s) != ""))
+    return docs(spark, sf_dir).select("doc_id", F.when(F.size(spans) >= filled, filled).alias("lines"), F.sha2(F.array_join(words, " "), 256).alias("words"))

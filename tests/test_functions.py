@@ -147,3 +147,20 @@ def test_yaml_is_strict():
     with pytest.raises(RulebookError):
         policy.load_config(texts.__getitem__, "c/loop.yaml")
     assert re.match("^[A-Z]", "OK")
+
+
+def test_quote_spans(spark):
+    got = apply(spark, windows.quote_spans, "one two three four five. six\nseven; eight", "", "a  b")
+    assert [list(g) for g in got] == [["one two three four", "five.", "six", "seven;", "eight"], [], ["a  b"]]
+
+
+def test_missing_dependencies(spark):
+    from lexkeel.sources import dependencies
+
+    main = "\\documentclass{thesis}\\usepackage{amsmath,styles/own}\\input{ch/a}\\include{ch/b}\\includegraphics{fig/x}\\includegraphics{fig/y}\\addbibresource{r.bib} % \\input{no}\n\\begin{verbatim}\\input{lit}\\end{verbatim}\\input{\\dyn}"
+    rows = [("p", "main.tex", main), ("p", "ch/a.tex", "\\input{c} \\input{gone}"), ("p", "ch/c.tex", "\\input{main} \\bibliography{q,r}"), ("p", "fig/x.png", ""), ("p", "r.bib", ""), ("p", "lost.tex", "\\input{unreached}"), ("o", "main.tex", "\\documentclass{article}")]
+    files = spark.createDataFrame([(d, p, t.encode()) for d, p, t in rows], "doc_id string, path string, content binary")
+    mains = spark.createDataFrame([("p", "main.tex"), ("o", "main.tex")], "doc_id string, main string")
+    got = sorted((r["doc_id"], r["place"], r["kind"], r["ref"]) for r in dependencies.missing(files, mains).collect())
+    assert [g[2:] for g in got] == [("include", "ch/b.tex"), ("include", "gone.tex"), ("class", "thesis.cls"), ("style", "styles/own.sty"), ("bibliography", "q.bib"), ("image", "fig/y")]
+    assert {g[0] for g in got} == {"p"}
