@@ -7,6 +7,8 @@ a total limit. No model is called here: a provider is a function of rows, the on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +123,54 @@ def acceptable(quote: Column) -> Column:
     return (F.length(quote) <= QUOTE_CHARS) & (F.size(F.split(F.trim(quote), r"\s+")) <= QUOTE_WORDS) & ~quote.rlike(r"```|</?[A-Za-z][^>]*>")
 
 
+def prompts(planned: DataFrame, wire_ids: int = 8) -> DataFrame:
+    """What a provider is sent: ``prompt`` (JSON of the rule, its elements and the chunks) and its ``prompt_hash``.
+
+    From ``wire_ids`` elements on they go by number, which answers must use as well.
+    """
+    numbered = F.transform("elements", lambda e, i: F.when(F.size("elements") >= wire_ids, i.cast("string")).otherwise(e))
+    body = F.to_json(F.struct("rule_id", numbered.alias("elements"), F.transform("chunks", lambda c: F.struct(c["chunk_id"].alias("id"), c["text"].alias("text"))).alias("chunks")))
+    return planned.where("state = 'ready'").select("doc_id", "rule_id", "elements", body.alias("prompt")).withColumn("prompt_hash", F.sha2("prompt", 256))
+
+
+ANSWER = "status string, confidence double, elements array<string>, evidence array<struct<chunk_id:string,quote:string>>, diagnostic string, attempts int, provider string"
+
+
+def ask(prompted: DataFrame, providers: list[tuple[str, Callable[[str], dict]]], attempts: int = 2, tasks: int | None = None) -> DataFrame:
+    """Answers of the first provider that gives one whose elements are those asked for (by name or by number).
+
+    A provider is a name and a function from a prompt to a dictionary; it may raise. An unavailable provider passes on to the next, an
+    invalid answer is asked for once more. What is left is a diagnostic, never an error. ``tasks`` bounds how many calls run at once.
+    """
+    import pandas as pd
+
+    def one(prompt: str, elements: list[str]) -> dict:
+        last, n = {"diagnostic": "no_provider", "provider": None}, 0
+        for name, call in providers:
+            for _ in range(attempts):
+                n += 1
+                try:
+                    got = call(prompt)
+                except Exception:
+                    last = {"diagnostic": "provider_unavailable", "provider": name}
+                    break
+                named = [elements[int(e)] if str(e).isdigit() and int(e) < len(elements) else e for e in got.get("elements") or []]
+                if got.get("status") in ("pass", "warn", "info", "unverifiable", "not_applicable") and sorted(named) == sorted(elements):
+                    return {"status": got["status"], "confidence": got.get("confidence"), "elements": named, "evidence": got.get("evidence") or [], "diagnostic": None, "attempts": n, "provider": name}
+                last = {"diagnostic": "invalid_answer", "provider": name}
+        return {"status": None, "confidence": None, "elements": None, "evidence": None, "attempts": n} | last
+
+    def run(batches):
+        for pdf in batches:
+            rows = [one(p, list(e)) for p, e in zip(pdf["prompt"], pdf["elements"], strict=True)]
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.replace("array<struct<chunk_id:string,quote:string>>", "x").split(", ")])
+            yield pd.concat([pdf[["doc_id", "rule_id", "prompt_hash"]].reset_index(drop=True), out], axis=1)
+
+    source = prompted.coalesce(tasks) if tasks else prompted
+    key = prompted.select("doc_id", "rule_id", "prompt_hash").schema
+    return source.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key) + ", " + ANSWER)
+
+
 def disabled(planned: DataFrame) -> DataFrame:
     """The provider that answers nothing."""
     return planned.where("state = 'ready'").select("doc_id", "rule_id", F.lit("provider_disabled").alias("diagnostic"))

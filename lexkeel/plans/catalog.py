@@ -551,3 +551,13 @@ def profile_rules(spark, sf_dir):
 @register("severity_counts", f"WITH {RULES_SQL} SELECT severity, count(*) AS n FROM r GROUP BY severity")
 def severity_counts(spark, sf_dir):
     return B.rulebook(spark).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("semantic_rates", """
+WITH c AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS rule_id, quality = 1 AS schema_ok, toxic = 0 AS evidence_ok, quality = 1 AND toxic = 0 AS useful, doc_id % 3 = 0 AS actionable FROM labels)
+SELECT rule_id, count(*) AS cases, round(coalesce(avg(schema_ok::INT), 0), 9) AS schema_rate, round(coalesce(avg(evidence_ok::INT), 0), 9) AS evidence_rate, round(coalesce(avg(useful::INT) FILTER (actionable), 0), 9) AS useful_rate FROM c GROUP BY ROLLUP (rule_id)""")
+def semantic_rates(spark, sf_dir):
+    """Rates by rule and over all, in one rollup."""
+    cases = table(spark, sf_dir, "labels").select(F.when(F.col("doc_id") % 2 == 0, "EVEN").otherwise("ODD").alias("rule_id"), (F.col("quality") == 1).alias("schema_ok"), (F.col("toxic") == 0).alias("evidence_ok"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("useful"), (F.col("doc_id") % 3 == 0).alias("actionable"))
+    out = M.semantic_rates(cases)
+    return out.select("rule_id", "cases", *[F.round(c, 9).alias(c) for c in ("schema_rate", "evidence_rate", "useful_rate")])

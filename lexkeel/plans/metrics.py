@@ -42,3 +42,12 @@ def per_rule(observed: DataFrame, rules: DataFrame) -> DataFrame:
     got = confusion(observed, ["rule_id"])
     out = rules.select(F.col("id").alias("rule_id")).join(got, "rule_id", "left")
     return out.fillna(0).fillna(0.0)
+
+
+def semantic_rates(cases: DataFrame) -> DataFrame:
+    """Rates of valid schemas, valid evidence and useful answers, by rule and (``rule_id`` null) over all.
+
+    ``cases``: ``rule_id``, ``schema_ok``, ``evidence_ok``, ``useful``, ``actionable``; usefulness counts over actionable cases only.
+    """
+    rate = lambda c: F.coalesce(F.avg(c.cast("int")), F.lit(0.0))
+    return cases.rollup("rule_id").agg(F.count(F.lit(1)).alias("cases"), rate(F.col("schema_ok")).alias("schema_rate"), rate(F.col("evidence_ok")).alias("evidence_rate"), rate(F.when(F.col("actionable"), F.col("useful"))).alias("useful_rate"))

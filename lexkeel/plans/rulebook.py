@@ -167,3 +167,11 @@ def fill(text: str, values: dict[str, Any], approved: set[str]) -> str:
         return str(values[m[1]]) if m[1] in approved else m[0]
 
     return re.sub(PLACEHOLDER, put, text)
+
+
+def warnings(settings: Settings, version: str, approved: set[str], suggested: str | None = None) -> list[tuple[str, str]]:
+    """Codes and messages: parameters of a draft rulebook that nobody approved, and a profile other than the suggested one (which never changes it)."""
+    out = [("APPROVAL_REQUIRED", f"draft parameter {p} is not approved") for p in PARAMETERS if "draft" in version.casefold() and p not in approved]
+    if suggested and suggested != settings.profile:
+        out.append(("PROFILE_MISMATCH", f"suggested profile {suggested}, selected {settings.profile}"))
+    return out

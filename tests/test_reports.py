@@ -122,3 +122,40 @@ def test_stream_windows(spark, tmp_path):
     q = ingest.event_rates(stream).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM rates").first()[0] == 500
+
+
+def test_providers_fall_back_and_never_raise(spark):
+    planned = A.plan(spark, *sections(spark)).where("doc_id = 'd'")
+    prompted = A.prompts(planned)
+    assert prompted.where("rule_id = 'RES-01'").first()["prompt"].startswith('{"rule_id":"RES-01","elements":["0","1",')
+    assert prompted.where("rule_id = 'TSK-01'").first()["prompt"].startswith('{"rule_id":"TSK-01","elements":["analysis_summary"')
+
+    def down(_prompt):
+        raise ConnectionError
+
+    def local(prompt):
+        asked = json.loads(prompt)
+        if asked["rule_id"] == "CON-01":
+            return {"status": "fail", "elements": asked["elements"]}
+        return {"status": "pass", "confidence": 0.5, "elements": asked["elements"], "evidence": [{"chunk_id": asked["chunks"][0]["id"], "quote": "text"}]}
+
+    rows = {r["rule_id"]: r for r in A.ask(prompted, [("down", down), ("local", local)]).collect()}
+    assert rows["RES-01"]["status"] == "pass"
+    assert len(rows["RES-01"]["elements"]) == 8
+    assert (rows["TSK-01"]["provider"], rows["TSK-01"]["attempts"]) == ("local", 2)
+    assert (rows["CON-01"]["diagnostic"], rows["CON-01"]["status"]) == ("invalid_answer", None)
+    assert {r["diagnostic"] for r in A.ask(prompted, [("down", down)]).collect()} == {"provider_unavailable"}
+    assert len({r["prompt_hash"] for r in rows.values()}) == len(rows)
+
+
+def test_semantic_rates_and_warnings(spark):
+    from lexkeel.plans.metrics import semantic_rates
+    from lexkeel.plans.rulebook import PARAMETERS, Settings, warnings
+
+    cases = spark.createDataFrame([("A", True, True, True, True), ("A", True, False, False, True), ("B", False, False, False, False)], "rule_id string, schema_ok boolean, evidence_ok boolean, useful boolean, actionable boolean")
+    got = {r["rule_id"]: tuple(r)[1:] for r in semantic_rates(cases).collect()}
+    assert got["A"] == (2, 1.0, 0.5, 0.5)
+    assert got["B"] == (1, 0.0, 0.0, 0.0)
+    assert got[None][0] == 3
+    assert len(warnings(Settings(), "1-draft", set(), "research")) == len(PARAMETERS) + 1
+    assert warnings(Settings(), "1", set(), "software") == []

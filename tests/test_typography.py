@@ -117,3 +117,28 @@ def test_figure_pages(spark):
     got = {r["no"]: (r["caption_page"], r["ref_page"]) for r in Y.figure_pages(figures, spark.createDataFrame(rows, SPANS)).collect()}
     assert got[2] == (3, 3)
     assert got[1][1] == 1
+
+
+def test_top_fonts_sizes_and_mismatches(spark, tables):
+    classified = Y.classify(*tables).cache()
+    fonts = {(r["doc_id"], r["rank"]): r["name"] for r in Y.top_fonts(classified).collect()}
+    assert fonts[("font", 1)] == "Arial"
+    assert fonts[("pass", 1)] == "TimesNewRomanPSMT"
+    assert {r["size"] for r in Y.top_sizes(classified).where("doc_id = 'size'").collect()} == {13.3}
+    assert {r["doc_id"] for r in Y.mismatches(classified, 14.0).collect()} == {"font", "size"}
+    got = Y.samples(classified, 14.0, 2).where("doc_id = 'font'").collect()
+    assert [r["rank"] for r in got] == [1, 2]
+    assert all(len(r["sample"]) == 12 for r in got)
+
+
+def test_two_column_reading_order(spark):
+    from lexkeel.sources import pdf
+
+    boxes = {"head": (50, 50, 550, 70), "l1": (50, 100, 280, 200), "l2": (50, 300, 280, 400), "mid": (50, 220, 550, 280), "r1": (320, 100, 550, 200), "foot": (50, 500, 550, 520)}
+    rows = [("d", 1, tuple(map(float, b)), 600.0, name) for name, b in boxes.items()]
+    df = spark.createDataFrame(rows, "doc_id string, page int, bbox struct<x0:double,y0:double,x1:double,y1:double>, width double, text string")
+    ordered = pdf.with_offsets(pdf.reading_order(df)).orderBy("place").collect()
+    assert [r["text"] for r in ordered] == ["head", "l1", "l2", "mid", "r1", "foot"]
+    assert [r["char_start"] for r in ordered] == [0, 5, 8, 11, 15, 18]
+    single = pdf.reading_order(df.where("text in ('l1', 'l2')")).orderBy("place").collect()
+    assert [r["text"] for r in single] == ["l1", "l2"]
