@@ -32,8 +32,9 @@ from .common import kept, small_batches, table
 
 LONGEST = 4096
 END = 2
-#: Words remembered in each of two generations.
-_REMEMBERED = 500_000
+#: Words remembered in each of two generations, and bits by which a word's first occurrence is noted.
+_REMEMBERED = 150_000
+_SEEN_BITS = 1 << 22
 _OUT_BYTES = 4_000_000
 
 
@@ -55,6 +56,7 @@ class Words:
         self.model = self.tok.model
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.seen, self.noted = bytearray(_SEEN_BITS >> 3), 0
         self.four = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
         #: What the file's split pattern says, for the characters that ``odd`` leaves.
         self.split = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
@@ -76,18 +78,25 @@ class Words:
             return b""
         if self.odd(text):
             return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = self.split(text.lower()), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > _REMEMBERED:  # what is still in use moves over from the older generation
-                self.known, self.older = {}, known
-                known = self.known
-            older = self.older
-            for w in words:
-                if w not in known:
-                    known[w] = older[w] if w in older else self._word(w)
-            return b"".join(map(known.__getitem__, words))
+        get, fresh = self.known.get, self._fresh
+        return b"".join([get(w) or fresh(w) for w in self.split(text.lower())])
+
+    def _fresh(self, word: str) -> bytes:
+        """Ids of a word that this generation doesn't hold. Most words of a corpus occur once, so only the second occurrence is remembered."""
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._word(word)
+            at = hash(word) & (_SEEN_BITS - 1)
+            if not self.seen[at >> 3] >> (at & 7) & 1:
+                if self.noted > _SEEN_BITS // 3:
+                    self.seen, self.noted = bytearray(_SEEN_BITS >> 3), 0
+                self.seen[at >> 3] |= 1 << (at & 7)
+                self.noted += 1
+                return ids
+        if len(self.known) >= _REMEMBERED:  # what is still in use moves over from the older generation
+            self.older, self.known = self.known, {}
+        self.known[word] = ids
+        return ids
 
 
 @lru_cache(maxsize=1)
