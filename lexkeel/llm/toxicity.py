@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import kept, small_batches, table
 
 _WORD = re.compile(r"\w+")
-_CACHE_WORDS = 300_000
-_SLICE_CHARS = 1_000_000
+_CACHE_WORDS = 200_000
+_SLICE_CHARS = 300_000
 #: Odd multipliers that mix the hashes of the words of a feature (golden-ratio constants of public hash functions).
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 #: Score where there was nothing to learn from: no evidence, so not toxic.
@@ -118,22 +118,24 @@ def text_features(texts: list[str], bits: int, hashes: WordHashes) -> list[np.nd
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """Indexes and weights of the non-zero coordinates; the bias has index ``2 ** bits``."""
-    size = (1 << p.bits) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    rows = [np.append(r, size - 1) for r in rows]
+    z, n = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
+    bias = len(z) - 1  # the bias is a feature of every row; rows are not copied to hold it
+
+    def weights(zi, ni):
+        w = (np.sign(zi) * p.l1 - zi) / ((p.beta + np.sqrt(ni)) / p.alpha + p.l2)
+        return np.where(np.abs(zi) <= p.l1, 0.0, w)
+
     order = np.random.default_rng(p.seed)
     for _ in range(p.epochs if rows else 0):
         for i in order.permutation(len(rows)):
             x = rows[i]
             zi, ni = z[x], n[x]
-            root = np.sqrt(ni)
-            w = (np.sign(zi) * p.l1 - zi) / ((p.beta + root) / p.alpha + p.l2)
-            w[np.abs(zi) <= p.l1] = 0.0
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
-            n[x] = ni + g * g
-            z[x] = zi + g - (np.sqrt(ni + g * g) - root) / p.alpha * w
-    w = (np.sign(z) * p.l1 - z) / ((p.beta + np.sqrt(n)) / p.alpha + p.l2)
-    w[np.abs(z) <= p.l1] = 0.0
+            w, wb = weights(zi, ni), weights(z[bias], n[bias])
+            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + wb, -35, 35))) - labels[i]
+            for at, wi, old in ((x, w, ni), (bias, wb, n[bias])):
+                n[at] = old + g * g
+                z[at] += g - (np.sqrt(old + g * g) - np.sqrt(old)) / p.alpha * wi
+    w = weights(z, n)
     at = np.flatnonzero(w)
     return at, w[at]
 
