@@ -85,6 +85,12 @@ def facts(spark: SparkSession, projects: DataFrame, sections: DataFrame, files:
     return out.withColumns(derived).withColumn("review_cited", L.keys(F.col("review"), L.CITE))
 
 
+def numbered_figures(projects: DataFrame) -> DataFrame:
+    """``doc_id`` and ``no`` of the labelled figures whose caption tells a number."""
+    figures = projects.select("doc_id", F.explode(L.floats(F.col("visible"))).alias("f")).where("f.env = 'figure' AND f.label IS NOT NULL")
+    return figures.select("doc_id", F.nullif(F.regexp_extract("f.caption", r"(?iu)Рисунок\s+([0-9]+)", 1), F.lit("")).try_cast("int").alias("no")).where("no IS NOT NULL").distinct()
+
+
 # ---- outcomes ----
 
 
