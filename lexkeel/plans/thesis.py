@@ -388,8 +388,8 @@ def _blacklist() -> Column:
 
 
 def _density() -> Column:
-    """A reference for every 300 words, and no paragraph of 150 words without one."""
-    cites = F.size(L.matches(F.col("review"), L.CITE))
+    """A source for every 300 words, and no paragraph of 150 words without a reference."""
+    cites = F.size("review_cited")
     wanted = F.greatest(F.lit(1), F.floor(word_count(F.col("review")) / 300))
     bare = F.filter(F.split("review", r"\n\s*\n+"), lambda p: (word_count(p) >= 150) & ~p.rlike(L.CITE))
     return reviewed(F.when(cites < wanted, one("warn", "few references for the length", "warn")).when(F.size(bare) > 0, one("warn", "long paragraphs without a reference", "warn")).otherwise(one("pass", "references run through the text")))
@@ -415,7 +415,7 @@ def _repository() -> Column:
 
 
 def _figure_places() -> Column:
-    late = F.filter("figure_pages", lambda f: f["caption_page"] > f["ref_page"] + 1)
+    late = F.filter(F.coalesce("figure_pages", F.array().cast(FACTS["figure_pages"])), lambda f: f["caption_page"] > f["ref_page"] + 1)
     return F.when(F.size(late) > 0, one("warn", F.concat(F.lit("figures far behind their mention: "), F.array_join(F.transform(late, lambda f: f["no"].cast("string")), ", ")), "warn")).otherwise(one("pass", "figures follow their mention"))
 
 
@@ -439,8 +439,8 @@ RULES = [
     _simple("FMT-02", "", lambda: class_pdf(class_has(r"\\(?:RequirePackage|usepackage)\s*\{titlesec\}|\\titleformat\b"), "headings_ok", "bold headings")),
     _simple("FMT-03", "", lambda: class_pdf(class_has(r"\\onehalfspacing\b|\\linespread\s*\{\s*1\.5\s*\}"), "spacing_ok", "line spacing")),
     _simple("FMT-05", "", lambda: class_pdf(class_has(r"(?is)left\s*=\s*30\s*mm.*right\s*=\s*10\s*mm.*top\s*=\s*20\s*mm.*bottom\s*=\s*20\s*mm"), "margins_ok", "margins", F.col("margin_page"))),
-    _simple("FMT-04", "", lambda: F.when(F.col("main").isNull(), one("unverifiable", "parindent: no source")).otherwise(class_rule("paragraph indent", r"(?i)\\setlength\s*\{?\s*\\parindent\s*\}?\s*\{\s*12[.,]5\s*mm\s*\}|\\parindent\s*=?\s*12[.,]5\s*mm"))),
-    _simple("FIG-01", "L", _figure_places, applies=lambda: F.col("figure_pages").isNotNull()),
+    _simple("FMT-04", "", lambda: F.when(F.col("main").isNull(), one("unverifiable", "parindent: no source")).otherwise(class_rule("paragraph indent", r"(?i)\\parindent\s*=\s*12\.5\s*mm|\\setlength\s*\{\s*\\parindent\s*\}\s*\{\s*12\.5\s*mm\s*\}"))),
+    _simple("FIG-01", "L", _figure_places, applies=lambda: F.col("pdf_pages").isNotNull()),
     _simple("FIG-02", "L", lambda: labelled(["figure"], "fail", "figure")),
     _simple("FIG-03", "L", lambda: tri(class_has(r"\\(?:newcommand|NewDocumentCommand)\{\\risref\}"), ~F.col("visible").rlike(r"[Рр]ис\.(?:\s*|~)\s*[0-9]"), "figure references in words")),
     _simple("FIG-04", "L", lambda: class_rule("figure numbering", r"\\counterwithin\{figure\}|\\numberwithin\{figure\}")),
