@@ -18,6 +18,7 @@ many pieces; repeated rows each give their pieces; an empty table gives none; on
 
 from __future__ import annotations
 
+import gc
 import itertools
 import re
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from .common import kept, small_batches, table
 LONGEST = 4096
 END = 2
 #: Words remembered in each of two generations, and bits by which a word's first occurrence is noted.
-_REMEMBERED = 150_000
+_REMEMBERED = 300_000
 _SEEN_BITS = 1 << 22
 _OUT_BYTES = 4_000_000
 
@@ -126,6 +127,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None =
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Lists of words come and go by the million and hold no cycles, which the collector would look for again and again.
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield from cut(batches)
+        finally:
+            if on:
+                gc.enable()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
