@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import SPANS
-
 
 def decode(files: DataFrame) -> DataFrame:
     """Rows ``kind`` (page, span or object) of ``doc_id`` and binary ``content``, one file a row at a time."""
@@ -61,5 +59,3 @@ def with_offsets(spans: DataFrame) -> DataFrame:
     start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")
     return spans.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("text"))
 
-
-SPAN_COLUMNS = [c.split()[0] for c in SPANS.split(", ") if not c.startswith("bbox")]
