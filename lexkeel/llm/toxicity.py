@@ -162,8 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
     """Weights learnt from the labelled rows of ``docs`` outside fold 0.
 
     Several labels of one document count as toxic if any of them does. The sample of
-    ids is narrow and bounded (``train_rows`` of a class), so its join may broadcast; the texts of
-    the sample meet in one task, which trains.
+    ids is narrow and bounded (``train_rows`` of a class), so its join may broadcast; the features of
+    the sample meet in one task, which trains. Of rows that repeat an id one is used.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
@@ -183,13 +183,14 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
                 yield pa.RecordBatch.from_arrays([ids.slice(start, len(run)), y.slice(start, len(run)).cast(pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, labels = [], [], []
+        # One row of each id, however often the corpus repeats it: that keeps the sample within its bound.
+        held: dict[int, tuple[bytes, int]] = {}
         for b in batches:
-            ids += b.column("doc_id").to_pylist()
-            rows += [np.frombuffer(x, np.int32) for x in b.column("x").to_pylist()]
-            labels += b.column("y").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], len(rows[i])))
-        at, w = fit([rows[i] for i in order], np.array([labels[i] for i in order], float), p)
+            for i, x, y in zip(b.column("doc_id").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                if i not in held or x < held[i][0]:
+                    held[i] = x, y
+        order = sorted(held)
+        at, w = fit([np.frombuffer(held[i][0], np.int32) for i in order], np.array([held[i][1] for i in order], float), p)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["i", "w"])
 
     got = texts.mapInArrow(extract, "doc_id long, y int, x binary").repartition(1).mapInArrow(learn, "i long, w double").toArrow()
