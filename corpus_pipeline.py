@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexkeel.llm import packing, pii, quality, simhash, toxicity
+from lexkeel.llm import nearcopies, packing, pii, quality, toxicity
 from lexkeel.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +28,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    """Keeps one document of each group of near copies: 5-word Jaccard similarity of 0.8 or more, or SimHash within its radius."""
+    return nearcopies.one_of_each(docs).select(*COLUMNS)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ null if it has no other; an empty table gives an empty result; only ``keep`` col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +37,18 @@ PIVOTS = [xxhash.xxh64_intdigest(f"pivot {i}") - (1 << 63) for i in range(16)]
 _SLICE_BYTES = 1_000_000
 
 
-def _shingle_hashes(text: bytes) -> np.ndarray:
+def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
     w = text.lower().split()  # bytes: lower() changes A-Z only, split() knows ASCII white space only
     if not w:
         return np.empty(0, np.uint64)
-    grams = map(b" ".join, zip(w, w[1:], w[2:])) if len(w) >= 3 else [b" ".join(w)]
+    grams = map(b" ".join, zip(*[w[i:] for i in range(words)])) if len(w) >= words else [b" ".join(w)]
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(g, 42) for g in grams), np.uint64, max(1, len(w) - 2))
+    return np.fromiter((digest(g, 42) for g in grams), np.uint64, max(1, len(w) - words + 1))
 
 
 def simhash(text: bytes) -> int:
     """The fingerprint of a UTF-8 text as a signed 64-bit integer."""
-    h = _shingle_hashes(text)
+    h = shingle_hashes(text)
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -133,13 +133,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(materialize(fingerprints(docs, keep=["doc_id"]), "simhash-fingerprints"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """``docs`` with one row of each component: that of the component's id; rows without an id stay.
 
     Decisions are narrow rows; the texts move once, in the anti-join on the unique id.
     Of rows that repeat the surviving id one stays.
     """
-    near = materialize(near_duplicates(docs).select("doc_id", "component_id"), "simhash-components")
+    near = materialize(groups(docs).select("doc_id", "component_id"), "simhash-components")
     drop = near.where("doc_id <> component_id").select("doc_id").distinct()
     twice = near.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     gone = drop.unionByName(twice).distinct()
