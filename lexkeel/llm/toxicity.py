@@ -163,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
 
     Several labels of one document count as toxic if any of them does. The sample of
     ids is narrow and bounded (``train_rows`` of a class), so its join may broadcast; the features of
-    the sample meet in one task, which trains. Of rows that repeat an id one is used.
+    the sample meet in one task, which trains. Of rows that repeat an id one is used. Where the bound thins
+    the classes unequally, the bias is shifted by the log of their sampling rates, so that scores mean the mix of all labels.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
@@ -194,7 +195,14 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndar
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["i", "w"])
 
     got = texts.mapInArrow(extract, "doc_id long, y int, x binary").repartition(1).mapInArrow(learn, "i long, w double").toArrow()
-    return got.column("i").to_numpy(), got.column("w").to_numpy()
+    at, w = got.column("i").to_numpy(), got.column("w").to_numpy()
+    rate = {r["toxic"]: min(1.0, p.train_rows / r["n"]) for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shift = np.log(rate.get(0, 1.0) / rate.get(1, 1.0))
+    if len(at) and shift:
+        bias = 1 << bits
+        own = at == bias
+        at, w = np.append(at[~own], bias), np.append(w[~own], w[own].sum() + shift)
+    return at, w
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Ftrl = Ftrl(), keep: list[str] | None = None) -> DataFrame:
