@@ -51,16 +51,23 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: s
 def contains_any(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", shingle: int = 24, probe: int = 1) -> DataFrame:
     """Pairs of a text and a needle that it holds.
 
-    Instead of trying all pairs, a needle is looked up by its first ``shingle`` characters, which a text offers
-    at each word start; hits are verified by the exact test. Needles shorter than that, or not starting with a word, are tried on
-    every text: they must be few, which is checked against Spark's own broadcast bound.
+    Instead of trying all pairs, a needle is looked up by characters that a text which holds it must offer, and hits are
+    verified by the exact test. The characters are, as the needle allows: ``shingle`` from its first word start behind a
+    character of its own, or half as many from there (texts offer both at each word start, and that one is a
+    word start in any text); or its first ``shingle`` (texts offer these wherever no word starts within half as many,
+    so at most positions of unspaced scripts and at few of others). Needles that are too short for all of
+    these are tried on every text: Spark broadcasts them where its size estimate allows.
     """
-    starts = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), F.col(text)), F.lit(rf"(?s)(?<![\p{{L}}\p{{N}}])(?=([\p{{L}}\p{{N}}].{{{shingle - 1}}}))"), F.lit(1)))
-    long = needles.where((F.length(needle) >= shingle) & F.col(needle).rlike(r"^[\p{L}\p{N}]"))
-    short = needles.where(~((F.length(needle) >= shingle) & F.col(needle).rlike(r"^[\p{L}\p{N}]")))
+    word, other, half = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]", shingle // 2
+    spaced = F.concat(F.lit(" "), F.col(text))
+    at_words = F.regexp_extract_all(spaced, F.lit(rf"(?s)(?<!{word})(?=({word}.{{{half - 1},{shingle - 1}}}))"), F.lit(1))
+    inside = F.regexp_extract_all(spaced, F.lit(rf"(?s)(?!.{{0,{half - 1}}}?{other}{word})(?=(.{{{shingle}}}))"), F.lit(1))
+    offered = F.array_distinct(F.concat(at_words, F.transform(at_words, lambda g: F.substring(g, 1, half)), inside))
+    inner = lambda size: F.nullif(F.regexp_extract(F.col(needle), rf"(?s)^.*?{other}({word}.{{{size - 1}}})", 1), F.lit(""))
+    keys = needles.withColumn("__p", F.coalesce(inner(shingle), inner(half), F.when(F.length(needle) >= shingle, F.substring(needle, 1, shingle))))
+    long, short = keys.where(F.col("__p").isNotNull()), keys.where(F.col("__p").isNull()).drop("__p")
     holds = F.contains(F.col(text), F.col(needle))
-    keyed = texts.withColumn("__p", F.explode(starts))
-    by_key = keyed.join(long.withColumn("__p", F.substring(needle, 1, shingle)), "__p").where(holds).drop("__p")
+    by_key = texts.withColumn("__p", F.explode(offered)).join(long, "__p").where(holds).drop("__p")
     rest = texts.join(short, holds)
     return by_key.unionByName(rest.select(*by_key.columns))
 
