@@ -10,7 +10,8 @@ pass over the texts, no shuffle: however hot a source or long a text, its pieces
 
 Tokens: the text is normalised and split as the tokenizer file says, and each distinct word goes
 through the tokenizer once for as long as it is remembered. That holds for texts of characters on which all Unicode
-versions agree (``Words.odd``); any other text goes through the tokenizer whole. Strings of special tokens are ordinary text.
+versions agree (``Words.odd``); any other text, and one that holds the string of a special token,
+goes through the tokenizer whole.
 
 Edge cases: a null or empty text has the end token alone, a piece of one token; very long texts give
 many pieces; repeated rows each give their pieces; an empty table gives none; only ``keep`` columns are carried.
@@ -53,8 +54,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
+        self.special = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.seen, self.noted = bytearray(_SEEN_BITS >> 3), 0
@@ -77,10 +78,11 @@ class Words:
         """Little-endian 32-bit ids."""
         if not text:
             return b""
-        if self.odd(text):
+        low = text.lower()
+        if self.odd(text) or any(t in low for t in self.special):
             return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         get, fresh = self.known.get, self._fresh
-        return b"".join([get(w) or fresh(w) for w in self.split(text.lower())])
+        return b"".join([get(w) or fresh(w) for w in self.split(low)])
 
     def _fresh(self, word: str) -> bytes:
         """Ids of a word that this generation doesn't hold. Most words of a corpus occur once, so only the second occurrence is remembered."""
