@@ -1,16 +1,22 @@
 """SimHash near-dedup with pivot distance tables.
 
 1. ``fingerprints``: 64-bit SimHash over 3-word shingles (XXH64, seed 42).
-2. ``pivot_table``: each distinct fingerprint gets its Hamming distances to ``PIVOTS`` reference fingerprints, once.
-3. ``links``: pairs of distinct fingerprints at ``RADIUS`` bits or fewer. Two such fingerprints agree in at least
-   two of four 16-bit blocks, so pairs meet in six tables keyed by two blocks; a pair is discarded when any
-   coordinate of its pivot distances differs by more than ``RADIUS`` (triangle inequality), and the survivors
-   are verified by their own distance. A table's bucket of more than ``BUCKET`` fingerprints emits no pairs: its
-   members post themselves under their 65 keys (themselves and their one-bit neighbours) instead.
-   Fingerprints at two bits or fewer share such a key and at most 65 share any one, so this way is exact and linear.
-4. ``components``: connected components (``graph.stars``), carried back to documents.
-
-Copies collapse into one fingerprint before anything is joined. Nothing is collected.
+2. ``distances``: each distinct fingerprint gets its Hamming distances to the 64 ``PIVOTS`` once, a row of the pivot table.
+   The pivots are the words of the Hadamard code: bit ``i`` of pivot ``k`` is the parity of ``k & i``.
+3. ``cells``: pairs are listed by equal coordinates. Turning bit ``i`` on or off changes coordinate ``k`` by ``+1`` or ``-1``, by
+   the parity of ``k & i``. So where two fingerprints differ in bits ``a`` and ``b`` the changes cancel in half of the coordinates, all
+   ``k`` with one parity of ``k & (a ^ b)``, and where they differ in ``a`` alone all changes equal up to sign those of one coset of ``a``'s
+   complement. The 21 four-dimensional spaces ``V`` of coordinates in ``SPACES`` are such that each ``a ^ b`` (and each ``a``)
+   is orthogonal to exactly one (or, zero, to all). Three cosets of that one cover both parities, so a pair at two bits shares all
+   16 coordinates of one of them, and a pair at one bit has 16 coordinates of ``V`` itself that all differ by +1 or all by -1.
+   A cell is a coset and its 16 coordinates: 63 for each fingerprint, and 42 more for those of odd weight, which look one
+   up and one down in ``V`` (a pair at one bit is of different parity). Fingerprints of one cell are told apart only by bits that cancel in
+   sixteen groups of four, so a cell holds few but links, however dense a cluster is.
+4. ``links``: a listed pair is discarded when any of its 64 coordinates differs by more than ``RADIUS`` (triangle inequality; over the Hadamard
+   code that discards every pair at three bits, all but a few at four, and all beyond), and survivors are verified by their own distance.
+5. ``components``: connected components (``graph.stars``), carried back to documents.
+
+Copies collapse into one fingerprint before anything is joined. Nothing is collected, and no cell has another way.
 
 Edge cases: a null text has no word, like an empty one: fingerprint zero, linked like any other; fewer than
 three words are one shingle; repeated rows share their component; a component's id ignores null ids and is
@@ -31,9 +37,41 @@ from .common import kept, materialize, small_batches, table
 from .graph import stars
 
 RADIUS = 2
-BUCKET = 8
-#: Reference fingerprints, from a rule: any fixed, evenly spread set will do.
-PIVOTS = [xxhash.xxh64_intdigest(f"pivot {i}") - (1 << 63) for i in range(16)]
+
+
+def _parity(x: int) -> int:
+    return x.bit_count() & 1
+
+
+#: Reference fingerprints: the words of the Hadamard code of length 64.
+PIVOTS = [sum(_parity(k & i) << i for i in range(64)) for k in range(64)]
+PIVOTS = [p - (1 << 64) if p >> 63 else p for p in PIVOTS]
+
+
+def _spaces() -> list[list[list[int]]]:
+    """Of each of the 21 spaces ``V`` the three cosets that are used, ``V`` itself first, as 16 coordinates each.
+
+    The nonzero six-bit numbers are the powers of a generator of the field of 64 elements; the multiples of its subfield of four are 21 planes
+    which meet in zero only. ``V`` is what is orthogonal to a plane.
+    """
+    powers, x = [], 1
+    for _ in range(63):
+        powers.append(x)
+        x = x << 1 ^ (0b1000011 if x & 32 else 0)
+    out = []
+    for j in range(21):
+        plane = [powers[j], powers[j + 21]]
+        own = lambda a, b, p=plane: [k for k in range(64) if (_parity(k & p[0]), _parity(k & p[1])) == (a, b)]
+        out.append([own(0, 0), own(1, 0), own(0, 1)])
+    return out
+
+
+SPACES = _spaces()
+#: Coordinates of the 63 cosets, and odd multipliers that hash the 16 coordinates of each.
+_AT = np.array([c for v in SPACES for c in v])
+_MIX = np.array([[xxhash.xxh64_intdigest(f"cell {i} {j}") | 1 for j in range(16)] for i in range(63)], np.uint64)
+_BASE = np.array([xxhash.xxh64_intdigest(f"coset {i}") for i in range(63)], np.uint64)
+_BITS = np.array([[_parity(k & i) for i in range(64)] for k in range(64)], np.int16)
 _SLICE_BYTES = 1_000_000
 
 
@@ -76,40 +114,59 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def pivot_table(fps: DataFrame) -> DataFrame:
-    """Adds ``pivots``: the Hamming distances of ``fp`` to the reference fingerprints."""
-    return fps.withColumn("pivots", F.array(*[distance(F.col("fp"), F.lit(p)).cast("tinyint") for p in PIVOTS]))
+def distances(fps: np.ndarray) -> np.ndarray:
+    """The pivot table: the Hamming distances of each fingerprint to the 64 pivots."""
+    bits = np.unpackbits(fps.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int16)
+    return bits.sum(axis=1, keepdims=True) + _BITS.sum(axis=1) - 2 * (bits @ _BITS.T)
 
 
-def may_link(a: Column, b: Column) -> Column:
-    """No coordinate of two pivot tables differs by more than the radius."""
-    return F.forall(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y.cast("int")) <= RADIUS), lambda ok: ok)
+def cells_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of fingerprints and the index of the fingerprint of each."""
+    table = distances(fps).astype(np.uint64)
+    keys = np.stack([table[:, at] @ mix + base for at, mix, base in zip(_AT, _MIX, _BASE, strict=True)], axis=1)
+    odd = np.flatnonzero(table[:, 0] & np.uint64(1))  # the first pivot is zero, so this is the weight
+    up = keys[odd][:, ::3], _MIX[::3].sum(axis=1)
+    all_keys = np.concatenate([keys.ravel(), (up[0] + up[1]).ravel(), (up[0] - up[1]).ravel()])
+    return all_keys, np.concatenate([np.repeat(np.arange(len(fps)), 63), np.repeat(odd, 21), np.repeat(odd, 21)])
 
 
-def _band(i: int, j: int) -> int:
-    mask = (0xFFFF << 16 * i) | (0xFFFF << 16 * j)
-    return mask - (1 << 64) if mask >> 63 else mask
+def cells(nodes: DataFrame) -> DataFrame:
+    """``cell`` and ``fp``: a row for each cell of each distinct ``fp`` of ``nodes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1_000):
+                fps = b.column(0).slice(at, 1_000).to_numpy(zero_copy_only=False)
+                key, of = cells_of(fps)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps[of])], ["cell", "fp"])
+
+    return nodes.select("fp").mapInArrow(run, "cell long, fp long")
 
 
-BANDS = [_band(i, j) for i in range(4) for j in range(i + 1, 4)]
+def may_link(u: Column, v: Column) -> Column:
+    """No coordinate of the pivot rows of two fingerprints differs by more than the radius.
+
+    A row of the table costs 64 counts of bits, less than a join to look it up, so it is made again here.
+    """
+    return F.forall(F.lit(PIVOTS), lambda p: F.abs(distance(u, p) - distance(v, p)) <= RADIUS)
+
+
+def listed(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs ``(u, v)`` of fingerprints that share a cell, once for each cell shared."""
+    post = cells(nodes)
+    a, b = (post.select("cell", F.col("fp").alias(x)) for x in "uv")
+    return a.join(b, "cell").where("u < v").select("u", "v")
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` between the distinct ``fp`` of ``nodes`` which connect all that lie within the radius."""
-    posts = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in BANDS])).alias("band", "key"))
-    sizes = posts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialize(posts.join(sizes, ["band", "key"]), "simhash-buckets")
-    small = pivot_table(shared.where(F.col("size") <= BUCKET))
-    a = small.select("band", "key", F.col("fp").alias("u"), F.col("pivots").alias("pu"))
-    b = small.select("band", "key", F.col("fp").alias("v"), F.col("pivots").alias("pv"))
-    near = a.join(b, ["band", "key"]).where((F.col("u") < F.col("v")) & may_link(F.col("pu"), F.col("pv")) & (distance(F.col("u"), F.col("v")) <= RADIUS)).select("u", "v")
-
-    crowded = shared.where(F.col("size") > BUCKET).select("fp").distinct()
-    bits = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
-    keys = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(m)) for m in bits])
-    met = crowded.select("fp", F.explode(keys).alias("z")).groupBy("z").agg(F.collect_list("fp").alias("fps"))  # at most 65 in each
-    met = met.where(F.size("fps") > 1).select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v").distinct()
-    return near.unionByName(met)
+    """Edges ``(u, v)``: all pairs of distinct ``fp`` of ``nodes`` that lie within the radius."""
+    return listed(nodes).where(may_link(F.col("u"), F.col("v")) & (distance(F.col("u"), F.col("v")) <= RADIUS)).distinct()
+
+
+def tally(nodes: DataFrame) -> DataFrame:
+    """One row: how many pairs the cells list, how many of them the pivot table discards, and how many are verified."""
+    pair = listed(nodes).distinct().select(may_link(F.col("u"), F.col("v")).alias("may"), (distance(F.col("u"), F.col("v")) <= RADIUS).alias("near"))
+    return pair.agg(F.count(F.lit(1)).alias("listed"), F.count_if(~F.col("may")).alias("discarded"), F.count_if("near").alias("verified"))
 
 
 def components(fps: DataFrame) -> DataFrame:
