@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.OP3_SQL, "op5_warc": warc.OP5_SQL, "op10_chat": chat.OP10_SQL}
+    return {"op3_quality_rules": quality.OP3_SQL, "op5_warc": warc.OP5_SQL, "op9_pii": pii.OP9_SQL, "op10_chat": chat.OP10_SQL}

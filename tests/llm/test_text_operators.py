@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -350,9 +351,49 @@ def test_pii_on_odd_strings(spark, texts):
     assert got == {i: brute_spans(t) for i, t in enumerate(texts)}
 
 
+def test_pii_context_is_whole_words_on_both_sides(spark):
+    """Neither "ship" nor "latest" is a context word; words behind a span count; words beyond the window or cut by it don't."""
+    far = " x" * 30
+    cases = [
+        ("the latest hotel ship 10.0.0.1", 0.6), ("host 10.0.0.1", 0.7), ("10.0.0.1 is the host", 0.7), ("version test 10.0.0.1", 0.4), ("10.0.0.1 (sample)", 0.4), ("test host 10.0.0.1", 0.5),
+        (f"host {far} 10.0.0.1", 0.6), (f"10.0.0.1 {far} host", 0.6), ("ship " + "y" * 37 + " 10.0.0.1", 0.6), ("10.0.0.1 " + "y" * 37 + " iph", 0.6), ("IP: 10.0.0.1", 0.7), ("ip10.0.0.1", 0.7), ("хост-test-10.0.0.1", 0.4), ("éip 10.0.0.1", 0.6), ("a@b.example.com 10.0.0.1", 0.6),
+    ]
+    made = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert [(r["text"], next(s["score"] for s in r["spans"] if s["kind"] == "ip")) for r in pii.find(made).orderBy("doc_id").collect()] == cases
+    cleaned = [r["text"] for r in pii.redact(made).orderBy("doc_id").collect()]
+    assert cleaned == [t if score < pii.LEAST else t.replace("10.0.0.1", "<IP>").replace("a@b.example.com", "<EMAIL>") for t, score in cases]
+
+
+def test_pii_many_spans_in_one_text(spark):
+    n = 40_000
+    text = " ".join(f"u{i}@mail{i % 7}.example.org ü" for i in range(n))
+    made = spark.createDataFrame([(1, text)], "doc_id long, text string").cache()
+    made.count()
+    began = time.time()
+    spans = pii.find(made).select("spans").first()["spans"]
+    assert [(s["start"], s["end"]) for s in spans] == [m.span() for m in re.finditer(pii.PLAIN["email"], text)]
+    assert pii.redact(made).first()["text"] == re.sub(pii.PLAIN["email"], "<EMAIL>", text)
+    assert time.time() - began < 60
+
+
+def test_pii_redact_keeps_a_column_named_spans(spark):
+    made = spark.createDataFrame([("a@b.cd +1 234 567 8901", "own"), (None, None)], "text string, spans string")
+    assert [tuple(r) for r in pii.redact(made).collect()] == [("<EMAIL> <PHONE>", "own"), (None, None)]
+
+
+def test_pii_unions_over_blocks(spark):
+    """Overlapping spans of several kinds and cuts on the borders of blocks."""
+    card = "4539148803436467"
+    pad = pii._BLOCK - 6
+    texts = ["é" * pad + " " + card + " " + "z" * (2 * pii._BLOCK) + " a@b.cd", "+" + card[:12] + " x", card + "@b.cd tail", "q" * pii._BLOCK + " a@b.cd"]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r["text"] for r in pii.redact(made).orderBy("doc_id").collect()]
+    assert got == ["é" * pad + " <CARD> " + "z" * (2 * pii._BLOCK) + " <EMAIL>", "<PHONE> x", "<CARD> tail", "q" * pii._BLOCK + " <EMAIL>"]
+
+
 def test_pii_context_adjusts_the_score(spark):
     made = spark.createDataFrame([(1, "your card 4539148803436467"), (2, "4539148803436467"), (3, "test 4539148803436467")], "doc_id long, text string")
-    assert [r["spans"][0]["score"] for r in pii.find(made).orderBy("doc_id").collect()] == [0.9, 0.8, 0.7]
+    assert [r["spans"][0]["score"] for r in pii.find(made).orderBy("doc_id").collect()] == [0.9, 0.8, 0.6]
 
 
 def test_redaction(spark, rows):
