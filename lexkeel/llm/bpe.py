@@ -4,10 +4,10 @@
 ``overlap``; chunks pre-tokenise in parallel, each from its own start. The pattern
 scans forward without looking back, so once two neighbouring scans share a token start
 they agree from there on: that first shared start is where the pieces are
-stitched (``lead`` over the chunks of a text, in the JVM). Pieces then encode in parallel and
-their ids are joined in order. A text in which two neighbours share no start (one token longer
-than the overlap) is encoded in one go, so the result is exact for every text.
-Shorter texts are one chunk and need no shuffle.
+stitched. Seams are found on the starts alone, so texts move by chunk, never by document. Pieces then encode in parallel and
+their ids are joined in order. Where two neighbours share no start (one token longer
+than the overlap) these two are encoded as one piece, so the result is exact for every text and the others of its seams stay.
+A text of one chunk is its own piece and needs no shuffle.
 
 ``decode`` concatenates the raw bytes of the ids.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, table
+from .common import kept, materialize, small_batches, table
 
 CHUNK, OVERLAP = 32_768, 1_024
 _U32 = np.dtype("<u4")
@@ -61,16 +62,23 @@ def default_ranks() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@lru_cache(maxsize=1 << 16)
+def settled(c: str) -> bool:
+    """Whether all libraries agree on a character's class: it was a letter, number, sign or space in Unicode 3.2 as it is now. Of controls, only ASCII's are."""
+    kind = unicodedata.category(c)[0]
+    return c < "\x80" or (kind != "C" and kind == unicodedata.ucd_3_2_0.category(c)[0])
+
+
 def token_starts(text: str, last: bool) -> list[int]:
     """Starts of the pre-tokens of a chunk that what follows the chunk can't change.
 
     A token depends on at most three characters from its start and one behind its end,
     so starts near the end of a chunk that isn't the text's last are left out. Only
-    starts between ASCII characters count, on which all regex libraries agree, and none behind
-    white space: at the end of a piece ``\\s+(?!\\S)`` would take a whole run of it, in the text it leaves its last character.
+    starts between settled characters count, whatever their script, and none behind white space or an apostrophe:
+    at the end of a piece ``\\s+(?!\\S)`` would take a whole run of spaces, in the text it leaves its last character.
     """
     limit = len(text) if last else len(text) - 4
-    return [p for m in _pattern().finditer(text) if 0 < (p := m.start()) <= limit and text[p - 1] < "\x80" and text[p] < "\x80" and not text[p - 1].isspace()]
+    return [p for m in _pattern().finditer(text) if 0 < (p := m.start()) <= limit and text[p - 1] != "'" and not text[p - 1].isspace() and settled(text[p - 1]) and settled(text[p])]
 
 
 _ROWS = 256
@@ -102,6 +110,43 @@ def decoder(ranks_path: str) -> Callable[[Batches], Batches]:
     return _columns(lambda ids: {"bytes": pa.array(map(one, ids), pa.binary())})
 
 
+def _scanned(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """The chunks of texts (``row``, ``key``, ``text``) with the token starts in the overlaps at their two ends; ``row`` stays with the first."""
+    n = F.ceil(F.length("text") / chunk).cast("int")
+    chunks = long.select("row", "key", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    chunks = chunks.select(F.when(F.col("k") == 0, F.col("row")).alias("row"), "key", "n", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
+
+    def scan(batches: Batches) -> Batches:
+        for b in batches:
+            head, tail = [], []
+            for k, n, t in zip(b.column("k").to_pylist(), b.column("n").to_pylist(), b.column("text").to_pylist(), strict=True):
+                starts = token_starts(t, k == n - 1)
+                head.append([k * chunk + p for p in starts if p < overlap])
+                tail.append([k * chunk + p for p in starts if p >= chunk])
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(head, ints), pa.array(tail, ints)], [*b.schema.names, "head", "tail"])
+
+    made = chunks.repartition("key", "k").mapInArrow(scan, chunks.withColumns({"head": F.array(F.lit(0)), "tail": F.array(F.lit(0))}).schema)
+    return materialize(made, "bpe-chunks")
+
+
+def _seams(scanned: DataFrame) -> DataFrame:
+    """For each chunk its piece, ``from`` to ``to`` (null: the chunk's own border), the number ``run`` of the run that it belongs to and that run's ``size``."""
+    ordered = Window.partitionBy("key").orderBy("k")
+    to = F.array_min(F.array_intersect("tail", F.lead("head").over(ordered)))
+    found = scanned.select("key", "k", "head", "tail").withColumn("to", to).select("key", "k", "to")
+    found = found.withColumn("from", F.lag("to").over(ordered)).withColumn("run", F.count("from").over(ordered))
+    return found.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key", "run")))
+
+
+def stitching(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """One row: ``texts`` of several chunks, their ``chunks``, and the ``seams`` and ``borders_without`` one."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    long = docs.where(F.length(text) > chunk + overlap).select(F.lit(None).cast("int").alias("row"), F.monotonically_increasing_id().alias("key"), text.alias("text"))
+    found = _seams(_scanned(long, chunk, overlap))
+    return found.agg(F.countDistinct("key").alias("texts"), F.count(F.lit(1)).alias("chunks"), F.count("from").alias("seams"), F.count_if((F.col("k") > 0) & F.col("from").isNull()).alias("borders_without"))
+
+
 def encode(docs: DataFrame, ranks_path: str | None = None, keep: list[str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, then: Callable[[Batches], Batches] | None = None, made: str = "ids binary") -> DataFrame:
     """``keep`` columns of ``docs`` (by default all that have other names) plus ``ids`` binary.
 
@@ -118,36 +163,19 @@ def encode(docs: DataFrame, ranks_path: str | None = None, keep: list[str] | Non
     done = short.mapInArrow(lambda batches: last(ids_of(batches)), schema)
 
     long = docs.where(F.length(text) > chunk + overlap).select(F.struct(*carried).alias("row"), F.monotonically_increasing_id().alias("key"), text.alias("text"))
-    n = F.ceil(F.length("text") / chunk).cast("int")
-    chunks = long.select("row", "key", "text", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    chunks = chunks.select("row", "key", "n", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
-
-    def scan(batches: Batches) -> Batches:
-        for b in batches:
-            head, tail = [], []
-            for k, n, t in zip(b.column("k").to_pylist(), b.column("n").to_pylist(), b.column("text").to_pylist(), strict=True):
-                starts = token_starts(t, k == n - 1)
-                head.append([k * chunk + p for p in starts if p < overlap])
-                tail.append([k * chunk + p for p in starts if p >= chunk])
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(head, ints), pa.array(tail, ints)], [*b.schema.names, "head", "tail"])
-
-    scanned = chunks.repartition("key", "k").mapInArrow(scan, chunks.withColumns({"head": F.array(F.lit(0)), "tail": F.array(F.lit(0))}).schema)
-    ordered = Window.partitionBy("key").orderBy("k")
-    seam = F.array_min(F.array_intersect("tail", F.lead("head").over(ordered)))
-    stitched = scanned.withColumn("to", seam).withColumn("from", F.coalesce(F.lag("to").over(ordered), F.lit(0)))
-    broken = F.max((F.col("to").isNull() & (F.col("k") < F.col("n") - 1)).cast("int")).over(Window.partitionBy("key"))
-    stitched = stitched.withColumn("broken", broken == 1)
-    piece = F.substring("text", F.col("from") - F.col("k") * chunk + 1, F.coalesce(F.col("to"), F.lit(2**31 - 1)) - F.col("from"))
-    # A text that can't be stitched travels as its plain chunks, and is joined before it is encoded.
-    pieces = stitched.select("key", "k", "row", "broken", F.when(F.col("broken"), F.substring("text", 1, F.when(F.col("k") < F.col("n") - 1, F.lit(chunk)).otherwise(F.lit(2**31 - 1)))).otherwise(piece).alias("text"))
-    encoded = pieces.where(~F.col("broken")).select("key", "k", "row", "text").mapInArrow(ids_of, pieces.select("key", "k", "row", F.lit(b"").alias("ids")).schema)
-    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", c.alias("v")))), lambda x: x["v"]), "")
+    scanned = _scanned(long, chunk, overlap)
+    begin = F.coalesce("from", F.col("k") * chunk)
+    end = F.coalesce("to", F.when(F.col("k") == F.col("n") - 1, 2**31 - 1).otherwise((F.col("k") + 1) * chunk))
+    cut = F.substring("text", begin - F.col("k") * chunk + 1, end - begin)
+    pieces = scanned.drop("head", "tail").join(_seams(scanned), ["key", "k"]).select("key", "run", "k", "size", "row", cut.alias("text"))
+    in_order = lambda c, by: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, c.alias("v")))), lambda x: x["v"]), "")
+    some = F.first("row", ignorenulls=True).alias("row")
+    single = pieces.where("size = 1").select("key", "run", "row", "text")
+    merged = pieces.where("size > 1").groupBy("key", "run").agg(some, in_order(F.col("text"), "k").alias("text"))
+    encoded = single.unionByName(merged).mapInArrow(ids_of, single.select("key", "run", "row", F.lit(b"").alias("ids")).schema)
     # concat has no form for an array of binaries, so hexadecimal digits are joined and turned back.
-    whole = encoded.groupBy("key").agg(F.first("row").alias("row"), F.unhex(joined(F.hex("ids"))).alias("ids")).select("row.*", "ids")
-    whole = whole.mapInArrow(then, schema) if then else whole
-    rest = pieces.where("broken").groupBy("key").agg(F.first("row").alias("row"), joined(F.col("text")).alias("__text")).select("row.*", "__text")
-    return done.unionByName(whole).unionByName(rest.mapInArrow(lambda batches: last(ids_of(batches)), schema))
+    whole = encoded.groupBy("key").agg(some, F.unhex(in_order(F.hex("ids"), "run")).alias("ids")).select("row.*", "ids")
+    return done.unionByName(whole.mapInArrow(then, schema) if then else whole)
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, keep: list[str] | None = None) -> DataFrame:
