@@ -140,7 +140,9 @@ def cells(nodes: DataFrame) -> DataFrame:
                 key, of = cells_of(fps)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps[of])], ["cell", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "cell long, fp long")
+    # A fingerprint makes some 84 rows, so even few of them are dealt to all tasks.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.select("fp").repartition(parts, "fp").mapInArrow(run, "cell long, fp long")
 
 
 def may_link(u: Column, v: Column) -> Column:
