@@ -1,11 +1,12 @@
 """License scans by diagonal voting.
 
-All rolling ``K``-word hashes of every text are joined with the positions of the templates' own (a table of a few hundred
-rows whose size is fixed by ``TEMPLATES``, hence broadcast). A hit votes for a diagonal: its word position less its
+One pass over the texts yields all rolling ``K``-word runs, and the plain license phrases of each text beside them. The runs are joined by
+hash with the positions of the templates' own (a table of a few hundred rows whose size is fixed by ``TEMPLATES``, hence broadcast) and
+verified word for word there (a run's words are spelt out only where its hash is a template's). A hit votes for a diagonal: its word position less its
 template position. Votes are gathered by (document, template, diagonal), neighbouring diagonals (an inserted or missing
-word shifts them by one) are merged, and a merged span is verified by the share of the template's words that it covers.
+word shifts them by one) are merged, and a merged span is accepted by the share of the template's words that it covers.
 
-Beside that, ``phrases`` finds the plain license phrases word by word.
+What is left behind the join is a row for each text and each hit; these are dealt by document once.
 
 Edge cases: a null or empty text has no word and no label; texts shorter than ``K`` words can only hold phrases; repeated rows
 each get a row and the same labels (votes are sets of positions); rows sharing an id with different texts are told apart by
@@ -14,10 +15,13 @@ a hash of the text; an empty table gives an empty result; other columns are igno
 
 from __future__ import annotations
 
+import re
+
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, let, table
 
 K = 4
 #: Diagonals at most so far apart belong together.
@@ -54,58 +58,95 @@ def license_words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
 
 
-def grams(w: Column, k: int = K) -> Column:
-    """Hashes of all runs of ``k`` words, by position."""
-    starts = F.sequence(F.lit(0), F.size(w) - k)
-    return F.when(F.size(w) >= k, F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + d) for d in range(k)]))).otherwise(F.array().cast("array<long>"))
+def runs(w: Column, known: list[int] | None = None, k: int = K) -> Column:
+    """All runs of ``k`` words as structs of ``pos``, their hash ``gram`` and, where that is one of ``known`` (or any), their words ``run``."""
+    said = lambda i: F.concat_ws(" ", *[F.get(w, i + d) for d in range(k)])
+    spelt = lambda i, g: said(i) if known is None else F.when(g.isin(known), said(i))
+    run = lambda i: let(F.xxhash64(*[F.get(w, i + d) for d in range(k)]), lambda g: F.struct(i.alias("pos"), g.alias("gram"), spelt(i, g).alias("run")))
+    return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), run)).otherwise(F.array().cast("array<struct<pos:int,gram:bigint,run:string>>"))
+
+
+def template_grams(templates: list[tuple[str, str]] = TEMPLATES, k: int = K) -> list[int]:
+    """The hashes of the templates' runs, as Spark's ``xxhash64`` of ``k`` words has them: each word's XXH64, seeded by that before."""
+    out = set()
+    for _, text in templates:
+        w = [x for x in re.split(BREAK, re.sub("[A-Z]", lambda m: m[0].lower(), text)) if x]
+        for i in range(len(w) - k + 1):
+            h = 42
+            for x in w[i : i + k]:
+                h = xxhash.xxh64_intdigest(x.encode(), h)
+            out.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(out)
 
 
 def template_positions(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES, k: int = K) -> DataFrame:
-    """``gram``, ``template`` number, ``label``, ``at`` and the template's word count."""
+    """``gram``, ``run``, ``template`` number, ``label``, ``at`` and the template's word count."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
     rows = rows.withColumn("w", license_words(F.col("text")))
-    return rows.select("template", "label", F.size("w").alias("words"), F.posexplode(grams(F.col("w"), k)).alias("at", "gram"))
+    return rows.select("template", "label", F.size("w").alias("words"), F.explode(runs(F.col("w"), None, k)).alias("r")).select("template", "label", "words", F.col("r.pos").alias("at"), "r.run", "r.gram")
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K) -> DataFrame:
-    """Verified spans: ``doc_id``, ``text_hash``, ``label``, ``template``, ``first_word``, ``end_word`` and ``share`` of the template's words."""
+PLACES = "array<struct<at:bigint,label:string>>"
+
+
+def places(w: Column) -> Column:
+    """Word positions and labels of the plain phrases."""
+
+    def of(phrase: str, label: str) -> Column:
+        words = list(enumerate(phrase.split()))
+        here = lambda i: F.forall(F.array(*[F.coalesce(F.get(w, i + d) == F.lit(x), F.lit(False)) for d, x in words]), lambda ok: ok)
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), here), lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
+
+    return F.when(F.array_contains(w, "license"), F.concat(*[of(p, label) for p, label in PHRASES.items()])).otherwise(F.array().cast(PLACES))
+
+
+def hits(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K) -> DataFrame:
+    """``doc_id`` and ``text_hash`` with, for each row of ``docs``, one row of ``n_words`` and ``places`` and no template, and one row for each verified run of a template."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), license_words(F.col("text")).alias("w"))
-    rolled = keyed.select("doc_id", "text_hash", F.posexplode(grams(F.col("w"), k)).alias("pos", "gram"))
-    hits = rolled.join(F.broadcast(template_positions(docs.sparkSession, templates, k)), "gram")
+    w = F.col("w")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("n_words", "long"), ("places", PLACES))]
+    own = F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("gram"), F.lit("").alias("run"), F.size(w).cast("long").alias("n_words"), places(w).alias("places"))
+    each = F.transform(runs(w, template_grams(templates, k), k), lambda r: F.struct(r["pos"].alias("pos"), r["gram"].alias("gram"), r["run"].alias("run"), *none))
+    rolled = keyed.select("doc_id", "text_hash", F.explode(F.concat(F.array(own), each)).alias("x")).select("doc_id", "text_hash", "x.*")
+    known = template_positions(docs.sparkSession, templates, k)
+    return rolled.join(F.broadcast(known), ["gram", "run"], "left").where((F.col("pos") < 0) | F.col("template").isNotNull()).drop("gram", "run")
+
+
+def merged(found: DataFrame, k: int = K) -> DataFrame:
+    """Of ``hits``: spans with ``first_word``, ``end_word``, the template's words covered, ``n``, and their ``share``; the rows without a template have ``copies``, ``n_words`` and ``places``."""
     key = ["doc_id", "text_hash", "template", "label", "words"]
+    dealt = found.repartition("doc_id", "text_hash")
     # A diagonal holds at most one hit for each template position, so its set is bounded by the template.
-    votes = hits.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("at"))
+    votes = dealt.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("at"), F.count("n_words").alias("copies"), F.first("n_words", True).alias("n_words"), F.first("places", True).alias("places"))
     order = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     votes = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1, -(2**30)).over(order) > SLACK).cast("int"))
-    votes = votes.withColumn("span", F.sum("new").over(order))
+    votes = votes.withColumn("span", F.sum("new").over(order)).drop("new")
     # Each merged span counts a template word once, however many diagonals it is on.
-    covered = votes.select(*key, "span", "diagonal", F.explode("at").alias("a")).select(*key, "span", F.explode(F.sequence(F.col("a"), F.col("a") + k - 1)).alias("t"), (F.col("diagonal") + F.col("a")).alias("pos"))
-    words = covered.groupBy(*key, "span", "t").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    spans = words.groupBy(*key, "span").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("first_word"), (F.max("hi") + k).alias("end_word"))
-    share = F.col("n") / F.col("words")
-    return spans.where((share >= SHARE) | (F.col("n") >= WORDS)).select("doc_id", "text_hash", "label", "template", "first_word", "end_word", share.alias("share"))
+    covered = votes.withColumn("a", F.explode_outer("at")).withColumn("t", F.explode_outer(F.sequence(F.col("a"), F.col("a") + k - 1)))
+    some = [F.max("copies").alias("copies"), F.first("n_words", True).alias("n_words"), F.first("places", True).alias("places")]
+    words = covered.groupBy(*key, "span", "t").agg(F.min(F.col("diagonal") + F.col("t")).alias("lo"), F.max(F.col("diagonal") + F.col("t")).alias("hi"), *some)
+    spans = words.groupBy(*key, "span").agg(F.count("t").alias("n"), F.min("lo").alias("first_word"), (F.max("hi") + 1).alias("end_word"), *some)
+    return spans.withColumn("share", F.col("n") / F.col("words"))
 
 
-def phrases(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``n_words`` and ``places``: word positions and labels of the plain phrases."""
-    w = F.col("w")
+ACCEPTED = f"template IS NOT NULL AND (share >= {SHARE} OR n >= {WORDS})"
 
-    def places(phrase: str, label: str) -> Column:
-        words = list(enumerate(phrase.split()))
-        here = lambda i: F.forall(F.array(*[F.coalesce(F.get(w, i + d) == F.lit(x), F.lit(False)) for d, x in words]), lambda ok: ok)
-        return F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), here), lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
-    found = [places(p, label) for p, label in PHRASES.items()]
-    none = F.array().cast("array<struct<at:bigint,label:string>>")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), license_words(F.col("text")).alias("w"))
-    return keyed.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.when(F.array_contains(w, "license"), F.concat(*found)).otherwise(none).alias("places"))
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K) -> DataFrame:
+    """Verified spans: ``doc_id``, ``text_hash``, ``label``, ``template``, ``first_word``, ``end_word`` and ``share`` of the template's words."""
+    return merged(hits(docs, templates, k), k).where(ACCEPTED).select("doc_id", "text_hash", "label", "template", "first_word", "end_word", "share")
+
+
+def labelled(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K) -> DataFrame:
+    """A row for each row of ``docs``: ``doc_id``, ``text_hash``, ``n_words``, ``places``, the labels ``found`` and the best ``share``."""
+    own = F.expr(ACCEPTED)
+    both = merged(hits(docs, templates, k), k).groupBy("doc_id", "text_hash").agg(F.max("copies").alias("copies"), F.first("n_words", True).alias("n_words"), F.first("places", True).alias("places"), F.collect_set(F.when(own, F.col("label"))).alias("found"), F.max(F.when(own, F.col("share"))).alias("share"))
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    base = phrases(docs)
-    spans = scan(docs).groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
-    out = base.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")), "left")
+    out = labelled(docs)
     labels = F.transform("places", lambda p: p["label"])
     starts = F.transform("places", lambda p: p["at"])
     join = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
@@ -113,5 +154,5 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.greatest(F.coalesce("share", F.lit(0.0)), F.when(n > 0, F.lit(0.5)).otherwise(F.lit(0.0)))
     return out.select(
         "doc_id", "n_words", n.alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        join(labels).alias("base_labels"), join(F.concat(labels, F.coalesce("found", F.array().cast("array<string>")))).alias("labels"), score.alias("score"),
+        join(labels).alias("base_labels"), join(F.concat(labels, "found")).alias("labels"), score.alias("score"),
     )
