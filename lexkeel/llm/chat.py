@@ -94,7 +94,8 @@ def tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     spark = conversations.sparkSession
     formatted = materialize(gathered.mapInArrow(run, kind), "chat-formatted")
-    ranged = formatted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "conv_id").sortWithinPartitions("path", "conv_id")
+    # Texts stay behind: only paths and lengths are sorted and numbered.
+    ranged = formatted.select("conv_id", "path", "lens").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "conv_id").sortWithinPartitions("path", "conv_id")
     ordered = materialize(ranged.withColumns({"part": F.spark_partition_id(), "ord": F.monotonically_increasing_id()}), "chat-ordered")
 
     # A row for each partition: what the next one must know.
@@ -111,8 +112,11 @@ def tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))
     start = F.col("base") + F.sum("new").over(inside) - F.col("new")
     placed = emitted.join(F.broadcast(base), "part").withColumn("start", start)
+    placed = placed.where(F.size("path") > F.col("shared")).select("conv_id", "path", "lens", "shared", "held", "start")
+    said = formatted.select(F.col("conv_id").alias("own_id"), "texts", "loss")
+    placed = placed.join(said, F.col("conv_id").eqNullSafe(F.col("own_id")))
     turn = F.explode(F.arrays_zip("path", "texts", "lens", "loss", F.transform("path", lambda _, i: i + 1).alias("depth")))
-    nodes = placed.select("conv_id", "shared", "held", "start", "lens", turn.alias("x")).where("x.depth > shared")
+    nodes = placed.select("shared", "held", "start", "lens", turn.alias("x")).where("x.depth > shared")
     position = total(F.slice("lens", F.lit(1), F.col("x.depth") - 1))
     nodes = nodes.withColumn("position", position).withColumn("start", F.col("start") + F.col("position") - F.col("held"))
     at = F.col("start")
