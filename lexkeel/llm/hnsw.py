@@ -2,8 +2,8 @@
 
 Rows are dealt over shards by a hash of their vector; each shard builds its own graph (Malkov and Yashunin,
 2018) and stores it as flat arrays: nodes are ordered by level, so layer ``l`` is the first ``n_l`` nodes and one
-``int32`` array of ``n_l x width`` neighbours. Queries travel in blocks to every shard, which answers with its best
-candidates; the results of all shards are merged by score.
+``int32`` array of ``n_l x width`` neighbours. Queries travel in blocks to every shard's task, which reads its index once, as the first
+of its rows, and answers each block as it passes; the results of all shards are merged by score.
 
 Construction inserts in batches whose size doubles with the graph; a batch searches
 the graph as it stands by one beam search for all its nodes at once, picks diverse neighbours and links back.
@@ -226,7 +226,8 @@ def build_index(rows: DataFrame, k: int, p: Hnsw = Hnsw()) -> DataFrame:
         }
         return pa.Table.from_pydict(row, _schema(INDEX))
 
-    return materialize(dealt.groupBy("shard", "dim").applyInArrow(run, INDEX), "hnsw-index")
+    # Ranges give each shard a task of its own, where hashes of the numbers would put some together.
+    return materialize(dealt.repartitionByRange(shards, "shard").groupBy("shard", "dim").applyInArrow(run, INDEX), "hnsw-index")
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -271,31 +272,33 @@ def query_blocks(queries: DataFrame, p: Hnsw = Hnsw()) -> DataFrame:
 
 def nearest(index: DataFrame, blocks: DataFrame, k: int, p: Hnsw = Hnsw()) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest found for each query."""
-    shards = index.agg(F.max("shard")).first()[0]
-    every = F.sequence(F.lit(0), F.lit(shards or 0))  # each block goes to every shard: a stated query set against all rows
-    asked = blocks.select(F.explode(every).alias("shard"), "dim", F.struct("ids", "vectors").alias("q"))
-    pairs = index.join(asked, ["shard", "dim"])
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    own = index.select("shard", "dim", F.lit(0).alias("kind"), "ids", "counts", "vectors", "sizes", "neighbours")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))  # each block goes to every shard: a stated query set against all rows
+    missing = {c: F.lit(None).cast(own.schema[c].dataType) for c in ("counts", "sizes", "neighbours")}
+    asked = blocks.select(every.alias("shard"), "dim", F.lit(1).alias("kind"), "ids", "vectors").withColumns(missing)
+    rows = own.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "kind")
     out = "query_id long, vec_id long, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        at, held = None, None
         for b in batches:
             for row in range(b.num_rows):
-                r = {c: b.column(c)[row] for c in b.schema.names}
-                if held is None or last != r["shard"].as_py():
-                    last, dim = r["shard"].as_py(), r["dim"].as_py()
-                    counts = np.frombuffer(r["counts"].as_py(), "<i4")
-                    x = _matrix(r["vectors"].as_py(), len(counts), dim)
-                    layers = [np.frombuffer(a, "<i4").reshape(n, -1) for a, n in zip(r["neighbours"].as_py(), r["sizes"].as_py(), strict=True)]
-                    held = np.frombuffer(r["ids"].as_py(), "<i8"), counts, np.r_[0, np.cumsum(counts)], x, _unit(x), layers
-                ids, counts, starts, x, unit, layers = held
-                q = r["q"].as_py()
-                qid = np.frombuffer(q["ids"], "<i8")
-                qv = np.frombuffer(q["vectors"], "<f8").reshape(len(qid), -1)
-                found = search(unit, layers, _unit(qv), p)[:, : 4 * (k + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in _answers(qid, qv, found, ids, counts, starts, x, k)], ["query_id", "vec_id", "score"])
-
-    got = pairs.mapInArrow(run, out)
+                r = {c: b.column(c)[row].as_py() for c in b.schema.names}
+                if r["kind"] == 0:
+                    at, dim = (r["shard"], r["dim"]), r["dim"]
+                    counts = np.frombuffer(r["counts"], "<i4")
+                    x = _matrix(r["vectors"], len(counts), dim)
+                    layers = [np.frombuffer(a, "<i4").reshape(n, -1) for a, n in zip(r["neighbours"], r["sizes"], strict=True)]
+                    held = np.frombuffer(r["ids"], "<i8"), counts, np.r_[0, np.cumsum(counts)], x, _unit(x), layers
+                elif at == (r["shard"], r["dim"]):  # else the shard holds no vector of that dimension
+                    ids, counts, starts, x, unit, layers = held
+                    qid = np.frombuffer(r["ids"], "<i8")
+                    qv = np.frombuffer(r["vectors"], "<f8").reshape(len(qid), -1)
+                    found = search(unit, layers, _unit(qv), p)[:, : 4 * (k + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in _answers(qid, qv, found, ids, counts, starts, x, k)], ["query_id", "vec_id", "score"])
+
+    got = rows.mapInArrow(run, out)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return got.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
