@@ -55,20 +55,25 @@ def repeated_words(w: Column) -> Column:
     return F.when(n < 3, 0).when(unique, 0).otherwise(let(windows, lambda s: covered(twice(s))))
 
 
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def measure(docs: DataFrame) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-    # Each step names what the next ones use more than once.
-    one = docs.withColumns({"__text": text, "__w": words_of(docs["text"]), "__l": lines})
-    w, ls = F.col("__w"), F.col("__l")
-    return one.withColumns({
+    # The input travels as one struct, so that no name of its columns meets the names of what the measurements use more than once.
+    row = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in MEASURED]
+    one = docs.select(F.struct(*row).alias("row"), text.alias("text"), words_of(docs["text"]).alias("w"), lines.alias("ls"))
+    w, ls = F.col("w"), F.col("ls")
+    measured = {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
-        "n_symbols": (F.size(F.split("__text", SYMBOLS, -1)) - 1).cast("long"),
+        "n_symbols": (F.size(F.split("text", SYMBOLS, -1)) - 1).cast("long"),
         "n_lines": F.size(ls).cast("long"),
         "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
         "n_repeat_words": let(w, repeated_words).cast("long"),
-    }).drop("__text", "__w", "__l")
+    }
+    return one.select("row", *[c.alias(n) for n, c in measured.items()]).select("row.*", *MEASURED)
 
 
 def failures(n_words: Column, word_chars: Column, n_symbols: Column, n_lines: Column, n_dup_lines: Column, n_repeat_words: Column) -> Column:
@@ -89,8 +94,7 @@ def failures(n_words: Column, word_chars: Column, n_symbols: Column, n_lines: Co
 
 def ledger(docs: DataFrame) -> DataFrame:
     """``docs`` plus the measurements and ``failed`` int, a bit for each rule that the row fails."""
-    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    return measure(docs).withColumn("failed", failures(*map(F.col, names)))
+    return measure(docs).withColumn("failed", failures(*map(F.col, MEASURED)))
 
 
 def apply_policy(led: DataFrame, version: int = POLICY) -> DataFrame:
