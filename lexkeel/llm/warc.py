@@ -9,8 +9,8 @@ Reading: ``members`` reads a package's end of central directory, its ZIP64 count
 fields overflow, the central directory and the members' local headers; ``locate`` reads its index; ``read_records`` fetches the byte range
 of each record, one package's neighbouring records in one request, and parses it. Nothing is unpacked to disk.
 
-All files go through ``pyarrow.fs``, so the shared folder may be any store that it opens (``file``, ``hdfs``, ``s3``,
-``gs``). A task writes under a name of its own attempt, and only attempts whose manifest row
+All files go through ``pyarrow.fs``, so the shared folder may be any store that it opens (``file``, ``hdfs``, ``s3`` under
+Spark's names too, ``gs``). A task writes under a name of its own attempt, and only attempts whose manifest row
 was committed are read, so lost executors and repeated attempts leave no duplicates.
 
 Edge cases: a null html is an empty payload; payloads under ``MIN_REVISIT`` bytes are always responses; rows
@@ -25,15 +25,15 @@ import io
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cores, materialize, new_path, small_batches, table
+from .common import cores, file_system, materialize, new_path, small_batches, table
 
 MIN_REVISIT = 100
 PACKAGE_BYTES = 64 << 20
@@ -189,7 +189,7 @@ def write_archives(planned: DataFrame, to: str, zip64: bool = False) -> DataFram
     """Writes the packages under ``to``; the manifest: ``path``, ``bytes``, ``records`` of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(to)
+        store, base = file_system(to)
         task, done, parts, index, size = TaskContext.get(), 0, [], [], 0
         name = f"{base}/warc-{task.partitionId():05d}-{task.taskAttemptId()}"
 
@@ -218,34 +218,37 @@ def write_archives(planned: DataFrame, to: str, zip64: bool = False) -> DataFram
         if parts:
             yield flush()
 
-    store, base = fs.FileSystem.from_uri(to)
+    store, base = file_system(to)
     store.create_dir(base, recursive=True)
     rows = planned.select("page_id", "url", "payload", "payload_digest", "refers_to")
     return rows.mapInArrow(run, "path string, bytes long, records long")
 
 
-def _reader(store, path: str):
-    f = store.open_input_file(path)
+@contextmanager
+def _reader(store, path: str) -> Iterator[Callable[[int, int], bytes]]:
+    """A function that reads ranges of an open file, which is closed behind the block."""
+    with store.open_input_file(path) as f:
 
-    def read(at: int, n: int) -> bytes:
-        f.seek(at)
-        return f.read(n)
+        def read(at: int, n: int) -> bytes:
+            f.seek(at)
+            return f.read(n)
 
-    return read
+        yield read
 
 
 def locate(manifest: DataFrame, at: str) -> DataFrame:
     """Byte ranges of runs of records: ``path``, ``offset``, ``length`` and the ``sizes`` of the records in the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(at)
+        store, _ = file_system(at)
         for b in batches:
             for path, size in zip(b.column("path").to_pylist(), b.column("bytes").to_pylist(), strict=True):
-                read = _reader(store, path)
-                found = members(read, size)
-                data, (index_at, index_size) = found["archive/data.warc.gz"][0], found["indexes/index.cdx"]
+                with _reader(store, path) as read:
+                    found = members(read, size)
+                    data, (index_at, index_size) = found["archive/data.warc.gz"][0], found["indexes/index.cdx"]
+                    cdx = read(index_at, index_size)
                 rows, start, sizes = ([], [], []), 0, []
-                for line in io.BytesIO(read(index_at, index_size)):
+                for line in io.BytesIO(cdx):
                     x = json.loads(line)
                     if sizes and (x["offset"] != start + sum(sizes) or x["offset"] - start >= _READ_BYTES):
                         for r, v in zip(rows, (data + start, sum(sizes), sizes), strict=True):
@@ -266,12 +269,13 @@ def read_records(ranges: DataFrame, at: str) -> DataFrame:
     """Rows of ``RECORD``, by one range read for each run of records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(at)
+        store, _ = file_system(at)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
         names = [c.split()[0] for c in RECORD.split(", ")]
         for b in batches:
             for path, offset, length, sizes in zip(*(b.column(c).to_pylist() for c in ("path", "offset", "length", "sizes")), strict=True):
-                raw, rows, pos = _reader(store, path)(offset, length), [], 0
+                with _reader(store, path) as read:
+                    raw, rows, pos = read(offset, length), [], 0
                 for n in sizes:
                     rows.append(parse(raw[pos : pos + n]))
                     pos += n
