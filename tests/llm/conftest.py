@@ -54,7 +54,7 @@ def clashing(spark, rows):
     """Documents whose other columns have the names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ("score", "predicted", "ids", "bytes", "fp", "key", "row", "k", "n_words", "failed", "kept", "spans", "start", "length", "bucket", "offset", "sequence_id", "w", "component_id", "label", "__x")
+    names = ("score", "predicted", "ids", "bytes", "fp", "key", "k", "n_words", "failed", "kept", "spans", "start", "length", "bucket", "offset", "sequence_id", "w", "component_id", "label", "__x", "__w", "__l", "__text", "__scored_text", "ls", "row", "text_hash", "places", "run", "gram", "template", "node", "path", "part", "ord", "shard", "dim", "payload", "bitmap", "posts")
     return spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", *[F.lit(f"<{c}>").alias(c) for c in names])
 
 
