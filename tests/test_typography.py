@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexkeel.plans import page_lines
 from lexkeel.plans import thesis as T
 from lexkeel.plans import typography as Y
 from lexkeel.plans.rulebook import Settings
@@ -83,7 +85,7 @@ def test_kinds_do_not_depend_on_span_order(spark, tables):
 
 def item(idx, text, x0, y0, size=14.0, font="Times", **flags):
     kind = {"bold": False, "mono": False, "math": False, "roman": False} | flags
-    return {"idx": idx, "text": text, "font": font, "key": font.lower(), "size": size, "chars": Y._weight(text), "x0": x0, "x1": x0 + 6.0 * len(text), "y0": y0, "y1": y0 + size, **kind}
+    return {"idx": idx, "text": text, "font": font, "key": font.lower(), "size": size, "chars": len("".join(text.split())), "x0": x0, "x1": x0 + 6.0 * len(text), "y0": y0, "y1": y0 + size, **kind}
 
 
 def test_listings_tables_formulas_captions_and_headings():
@@ -93,7 +95,8 @@ def test_listings_tables_formulas_captions_and_headings():
     spans += [item(30, "x", 90, 400, math=True), item(31, "=", 110, 400), item(32, "y", 130, 400, math=True)]
     spans += [item(40, "Рисунок 1 — Схема", 90, 450), item(41, "Заголовок", 90, 520, 18.0)]
     spans += [item(50, "code", 300, 80, 14.0, "Courier", mono=True)]  # a word of code inside a line stays body
-    got = Y.classify_page(spans, 14.0)
+    columns = {c: np.array([s[c] for s in spans], object if c in ("text", "font", "key") else None) for c in spans[0]}
+    got = {i: k for i, k in zip(columns["idx"].tolist(), page_lines.kinds(columns, 14.0).tolist(), strict=True) if k != "body"}
     assert {got.get(i) for i in range(5)} == {None}
     assert {got.get(i) for i in (10, 11, 12)} == {"listing"}
     assert {got.get(i) for i in range(20, 26)} == {"table"}
