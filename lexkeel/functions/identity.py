@@ -19,9 +19,8 @@ def locator(digest: Column, start: Column, end: Column) -> Column:
 def parse_locator(value: Column) -> Column:
     """Struct of ``hash``, ``start`` and ``end``; null unless well formed with start before end."""
     start, end = (F.regexp_extract(value, LOCATOR, i) for i in (2, 3))
-    ok = value.rlike(LOCATOR) & (F.length(start) < 10) & (F.length(end) < 10)
-    parsed = F.struct(F.regexp_extract(value, LOCATOR, 1).alias("hash"), start.try_cast("int").alias("start"), end.try_cast("int").alias("end"))
-    return F.when(ok & (parsed["start"] < parsed["end"]), parsed)
+    parsed = F.struct(F.regexp_extract(value, LOCATOR, 1).alias("hash"), start.try_cast("long").alias("start"), end.try_cast("long").alias("end"))
+    return F.when(value.rlike(LOCATOR) & (parsed["start"] < parsed["end"]), parsed)
 
 
 def json_string(value: Column) -> Column:

@@ -54,7 +54,7 @@ def references(visible: Column) -> Column:
 
 def section_body(body: Column, title: Column) -> Column:
     """What stands between the first ``\\section`` whose argument holds a title and the next one; null without it."""
-    pattern = F.concat(F.lit(r"(?isu)\\section\*?\{[^{}]*\Q"), title, F.lit(r"\E[^{}]*\}(.*?)(?=\\section\*?\{|\z)"))
+    pattern = F.concat(F.lit(r"(?isu)\\section\*?\{[^{}]*\Q"), F.replace(title, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E[^{}]*\}(.*?)(?=\\section\*?\{|\z)"))
     return F.get(F.regexp_extract_all(body, pattern, F.lit(1)), F.lit(0))
 
 

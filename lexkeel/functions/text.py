@@ -13,6 +13,11 @@ WORD = r"[\p{L}\p{N}_]+"
 SPACES = r"[\s\x{85}\p{Z}]+"
 
 
+def utf8(content: Column) -> Column:
+    """Bytes as text; null where they are not UTF-8."""
+    return F.try_validate_utf8(content.cast("string"))
+
+
 def estimate_tokens(text: Column) -> Column:
     """A token for every four UTF-8 bytes begun; none for an empty text."""
     return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4).cast("int")

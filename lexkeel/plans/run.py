@@ -5,7 +5,6 @@ Every step is lazy; the tables that several steps use are written once to the sh
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from ..functions.identity import locator, source_hash
 from ..operators.windows import chunks
 from ..sources import dependencies, policy
 from ..sources import projects as P
+from ..storage import keep
 from . import advisory, gate, page_roles, report, thesis, typography
 from .rulebook import Settings, rulebook
 
@@ -32,16 +32,6 @@ class Run:
     reports: DataFrame
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return df.persist()
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def section_chunks(projects: DataFrame, sections: DataFrame, budget: int = 800) -> DataFrame:
     """Chunks of every section, with offsets in the whole text and locators."""
     text = sections.join(projects.select("doc_id", "text"), "doc_id")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import latex as L
-from ..functions.text import SPACES, WORD, first_year, latin_ratio, plain_title, word_count
+from ..functions.text import SPACES, WORD, first_year, latin_ratio, plain_title, utf8, word_count
 from ..operators.aggregates import first_few
 from . import rulebook as B
 
@@ -58,7 +58,7 @@ def facts(spark: SparkSession, projects: DataFrame, sections: DataFrame, files:
     parts = [secs]
     if protected is not None and files is not None:
         found = protected.join(files.select("doc_id", "path", F.col("sha256").alias("actual"), "content"), ["doc_id", "path"], "left")
-        parts.append(found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "path", F.col("sha256").alias("expected"), "actual"))).alias("protected"), F.decode(F.min_by(F.when(F.col("path").endswith(".cls"), F.col("content")), F.when(F.col("path").endswith(".cls"), F.col("pos"))), "UTF-8").alias("cls")))
+        parts.append(found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "path", F.col("sha256").alias("expected"), "actual"))).alias("protected"), utf8(F.min_by(F.when(F.col("path").endswith(".cls"), F.col("content")), F.when(F.col("path").endswith(".cls"), F.col("pos")))).alias("cls")))
     if forbidden is not None:
         parts.append(gather(forbidden, "forbidden", "pos", "pattern", "message"))
     if bib is not None:
@@ -205,7 +205,7 @@ def shorter(limit: int) -> Column:
     section = F.get(sections_where(lambda s: (s["level"] <= 2) & s["norm"].isin(*TASK_TITLES)), F.lit(0))
     body = F.regexp_replace(L.section_body(F.col("visible"), section["title"]), LITERALS, " ")
     lists = F.regexp_extract_all(body, F.lit(r"(?is)\\begin\s*\{(itemize|enumerate)\}(.*?)\\end\s*\{\1\}"), F.lit(2))
-    items = F.flatten(F.transform(lists, lambda t: F.slice(F.split(t, r"(?i)\\item(?![a-zA-Z])(?:\s*\[[^\]]*\])?"), F.lit(2), F.lit(100_000))))
+    items = F.flatten(F.transform(lists, lambda t: F.slice(F.split(t, r"(?i)\\item(?![a-zA-Z])(?:\s*\[[^\]]*\])?"), F.lit(2), F.length(t) + 1)))
     plain = F.transform(items, lambda t: F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\\[a-zA-Z]+\*?\s?|[{}$]", ""), SPACES, " "), "^ | $", "")))
     short = F.filter(plain, lambda n: n < limit)
     at = section["locator"]
@@ -297,7 +297,8 @@ def _preamble() -> Column:
     out = F.when(F.size(own) > 0, one("fail", F.get(own, F.lit(0))["message"], path=F.lit("preamble")))
     for pattern, message in PREAMBLE:
         out = out.when(F.col("preamble").rlike("(?i)" + pattern), one("fail", message, path=F.lit("preamble")))
-    return out.otherwise(one("pass", "the preamble overrides nothing"))
+    broken = F.filter(F.coalesce("forbidden", F.array().cast(FACTS["forbidden"])), lambda f: f["pattern"].isNull())
+    return out.when(F.size(broken) > 0, one("unverifiable", F.concat(F.lit("the policy cannot be used: "), F.get(broken, F.lit(0))["message"]))).otherwise(one("pass", "the preamble overrides nothing"))
 
 
 def _captions() -> Column:

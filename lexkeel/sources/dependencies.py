@@ -1,15 +1,17 @@
 """Files that a project's reachable sources refer to but that it does not have.
 
 References are extracted by expressions, resolved against the folder of the source and the project's root, and
-anti-joined with the listing. Reachability grows by one include level a round, over rows of paths only.
+anti-joined with the listing. What a main source reaches is followed project by project, over paths only.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_comments
+from ..functions.text import strip_comments, utf8
+from ..storage import keep
 
 #: Classes that need no file, image suffixes that may be left out, and the order of kinds.
 STANDARD = ["article", "beamer", "book", "extarticle", "extbook", "extreport", "letter", "memoir", "minimal", "proc", "report", "scrartcl", "scrbook", "scrreprt", "slides", "standalone"]
@@ -51,22 +53,30 @@ def resolved(refs: DataFrame) -> DataFrame:
     return refs.select("*", F.posexplode(clean).alias("order", "target"))
 
 
-def missing(files: DataFrame, mains: DataFrame, depth: int = 100) -> DataFrame:
+def _reached(edges: pa.Table) -> pa.Table:
+    """Sources that one project's main source includes, itself among them, at any depth; a cycle adds nothing."""
+    doc, main = edges.column("doc_id")[0], edges.column("main")[0].as_py()
+    into: dict[str, list[str]] = {}
+    for path, target in zip(edges.column("path").to_pylist(), edges.column("target").to_pylist(), strict=True):
+        into.setdefault(path, []).append(target)
+    seen, front = {main}, [main]
+    while front:
+        front = [t for p in front for t in into.get(p, ()) if t not in seen]
+        seen.update(front)
+    return pa.table({"doc_id": [doc.as_py()] * len(seen), "path": sorted(seen)})
+
+
+def missing(files: DataFrame, mains: DataFrame) -> DataFrame:
     """``doc_id``, ``kind``, ``ref``, ``place``: what is missing, once each, by kind and name. ``mains``: ``doc_id``, ``main``."""
-    sources = files.where(F.col("path").rlike(r"(?i)\.tex$")).select("doc_id", "path", F.decode("content", "UTF-8").alias("text"))
+    sources = files.where(F.col("path").rlike(r"(?i)\.tex$")).select("doc_id", "path", utf8(F.col("content")).alias("text")).where("text IS NOT NULL")
     refs = references(sources)
     have = files.select("doc_id", F.col("path").alias("target"))
     hits = resolved(refs).join(have, ["doc_id", "target"])
     best = Window.partitionBy("doc_id", "path", "kind", "ref").orderBy("order")
-    hits = hits.withColumn("n", F.row_number().over(best)).where("n = 1").select("doc_id", "path", "kind", "ref", "target").cache()
-    reached = mains.select("doc_id", F.col("main").alias("path"))
-    front = reached
-    for _ in range(depth):
-        front = front.join(hits.where("kind = 'include'"), ["doc_id", "path"]).select("doc_id", F.col("target").alias("path")).distinct().join(reached, ["doc_id", "path"], "left_anti")
-        front = front.cache()
-        if front.isEmpty():
-            break
-        reached = reached.unionByName(front)
+    hits = hits.withColumn("n", F.row_number().over(best)).where("n = 1").select("doc_id", "path", "kind", "ref", "target")
+    hits = keep(hits, "references")
+    edges = hits.where("kind = 'include'").select("doc_id", "path", "target").join(mains.select("doc_id", "main"), "doc_id", "right")
+    reached = edges.groupBy("doc_id").applyInArrow(_reached, "doc_id string, path string")
     open_ = refs.join(reached, ["doc_id", "path"], "left_semi").join(hits, ["doc_id", "path", "kind", "ref"], "left_anti")
     shown = F.when(F.col("ref").rlike(r"\.[^./]+$") | (F.col("kind") == "image"), F.col("ref")).otherwise(F.concat("ref", F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k, SUFFIXES[k][0])]), F.col("kind"))))
     out = open_.select("doc_id", "kind", shown.alias("ref")).distinct()

@@ -5,6 +5,7 @@ YAML is strict here: a repeated key is an error. PyYAML is optional; without it
 
 from __future__ import annotations
 
+import re
 from pathlib import PurePosixPath
 from typing import Any
 
@@ -63,20 +64,63 @@ def load_config(read, path: str, above: tuple[str, ...] = ()) -> dict:
 
 
 def policies(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables of protected files and of forbidden patterns from the policy file of each project."""
-
+    """Tables of protected files and of forbidden patterns from the policy file of each project; ``policy_faults`` has what is wrong with the others."""
+    got = _policy_rows(files)
+    protected = got.where("what = 'file'").select("doc_id", "pos", F.col("a").alias("path"), F.col("b").alias("sha256"))
+    # A policy that cannot be used stands as a row without a pattern, so that its project is not passed.
+    fault = F.col("what") == "fault"
+    return protected, got.where("what <> 'file'").select("doc_id", "pos", F.when(~fault, F.col("a")).alias("pattern"), F.when(fault, F.col("a")).otherwise(F.col("b")).alias("message"))
+
+
+def _rows_of(policy: Any) -> list[tuple[str, int, str, str]]:
+    """What a policy holds; anything out of shape is an error. A pattern must compile, here and in Java's engine."""
+    if not isinstance(policy, dict):
+        raise RulebookError("a policy is a mapping")
+    out = []
+    for what, part, names in (("file", "class_files", ("path", "sha256")), ("pattern", "forbidden_preamble", ("pattern", "message"))):
+        for i, x in enumerate(policy.get(part) or []):
+            if not isinstance(x, dict) or not all(isinstance(x.get(n), str) for n in names):
+                raise RulebookError(f"{part} needs {' and '.join(names)} in each entry")
+            row = [x[n] for n in names]
+            if what == "pattern":
+                try:
+                    re.compile(x["pattern"])
+                except re.error as e:
+                    raise RulebookError(f"not a valid pattern: {x['pattern']}") from e
+                if JAVA_DIFFERS.search(x["pattern"]):
+                    raise RulebookError(f"not a portable pattern: {x['pattern']}")
+                row[0] = LITERAL_BRACE.sub(r"\\{", x["pattern"])
+            out.append((what, i, *row))
+    return out
+
+
+#: What Python's engine accepts and Java's does not, or reads otherwise: named groups and conditionals of Python, a bracket or ``&&`` inside a class, and escapes of letters.
+JAVA_DIFFERS = re.compile(r"\(\?(?:P|\(|[aLu]*[aLu])|\[\^?\]|\[[^\]\\]*(?:\[|&&)|\\[NpPUQEGKR]|\\$")
+
+
+#: A brace that counts nothing is a literal in Python and an error in Java.
+LITERAL_BRACE = re.compile(r"(?<!\\)\{(?![0-9]+(?:,[0-9]*)?\}|,[0-9]+\})")
+
+
+def _policy_rows(files: DataFrame) -> DataFrame:
     def rows(batches):
         for pdf in batches:
             out = []
             for doc, raw in zip(pdf["doc_id"], pdf["content"], strict=True):
-                policy = parse(bytes(raw).decode()) or {}
-                out += [(doc, "file", i, x["path"], x["sha256"]) for i, x in enumerate(policy.get("class_files") or [])]
-                out += [(doc, "pattern", i, x["pattern"], x["message"]) for i, x in enumerate(policy.get("forbidden_preamble") or [])]
+                try:
+                    out += [(doc, *row) for row in _rows_of(parse(bytes(raw).decode()) or {})]
+                except UnicodeDecodeError:
+                    out.append((doc, "fault", 0, "not UTF-8", None))
+                except RulebookError as e:
+                    out.append((doc, "fault", 0, str(e), None))
             yield pd.DataFrame(out, columns=["doc_id", "what", "pos", "a", "b"])
 
-    got = files.where(F.col("path") == POLICY).select("doc_id", "content").mapInPandas(rows, "doc_id string, what string, pos int, a string, b string")
-    protected = got.where("what = 'file'").select("doc_id", "pos", F.col("a").alias("path"), F.col("b").alias("sha256"))
-    return protected, got.where("what = 'pattern'").select("doc_id", "pos", F.col("a").alias("pattern"), F.col("b").alias("message"))
+    return files.where(F.col("path") == POLICY).select("doc_id", "content").mapInPandas(rows, "doc_id string, what string, pos int, a string, b string")
+
+
+def policy_faults(files: DataFrame) -> DataFrame:
+    """``doc_id``, ``path`` and ``problem`` of the policies that cannot be used."""
+    return _policy_rows(files).where("what = 'fault'").select("doc_id", F.lit(POLICY).alias("path"), F.col("a").alias("problem"))
 
 
 def labels(spark: SparkSession, text: str) -> DataFrame:

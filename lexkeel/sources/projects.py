@@ -6,12 +6,14 @@ Arrow function since includes nest. What rules need is kept as one row a project
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bibtex, latex
-from ..functions.text import plain_title
+from ..functions.text import plain_title, utf8
 
 PROJECT = "doc_id string, main string, expanded string, preamble string, body string, visible string, structural string, text string, headings array<struct<title:string,level:int,char_start:int>>, read array<string>, bib_paths array<string>, bib_declared boolean, error string"
 BIB = "doc_id string, pos int, key string, entry_type string, fields map<string,string>"
@@ -19,12 +21,24 @@ BIB = "doc_id string, pos int, key string, entry_type string, fields map<string,
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """Files of all projects under ``root``: ``doc_id`` (the folder), ``path`` inside it, ``sha256``, ``content``."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.split("://")[-1].rstrip("/")
-    inside = F.regexp_replace("path", rf"^.*\Q{base}\E/", "")
+    base = qualified(spark, root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.startswith("path", F.lit(base + "/")))
+    inside = F.substring("path", len(base) + 2, 2**31 - 1)
     return raw.select(F.regexp_extract(inside, "^([^/]+)/", 1).alias("doc_id"), F.regexp_replace(inside, "^[^/]+/", "").alias("path"), F.sha2("content", 256).alias("sha256"), "content").where("doc_id <> ''")
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as its file system names it, so that a relative one, or one whose name recurs further down, is a plain prefix of the paths read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString().rstrip("/")
+
+
+def faults(files: DataFrame) -> DataFrame:
+    """``doc_id``, ``path`` and ``problem`` of the text files that cannot be read; they cost their own project's checks, never a run."""
+    texts = files.where(F.col("path").rlike(r"(?i)\.(tex|bib|cls|sty|ya?ml)$"))
+    return texts.where(utf8(F.col("content")).isNull()).select("doc_id", "path", F.lit("not UTF-8").alias("problem"))
+
+
 def main_files(files: DataFrame) -> DataFrame:
     """The main source of each project: ``main.tex`` at the top, else the only nested one, else ``main.pdf``; ``problem`` says why there is none."""
     top = F.count_if(F.col("path") == "main.tex")
@@ -45,9 +59,10 @@ def projects(files: DataFrame) -> DataFrame:
         problem, sources = None, {}
         for path, raw in zip(rows["path"], rows["content"], strict=True):
             try:
-                sources[path] = bytes(raw).decode()
+                sources[path] = unicodedata.normalize("NFC", bytes(raw).decode())
             except UnicodeDecodeError:
-                problem = "a source is not UTF-8"
+                # A bibliography that cannot be read leaves the rules over sources alone.
+                problem = problem or ("a source is not UTF-8" if path.lower().endswith(".tex") else None)
         full, read, error = latex.expand({k: v for k, v in sources.items() if k.endswith(".tex")}, main)
         head, mark, body = full, "", ""
         if parts := latex.re.search(r"\\begin\s*\{document\}", full, latex.re.I):
@@ -56,7 +71,7 @@ def projects(files: DataFrame) -> DataFrame:
         named = latex.bibliography_files(full, main)
         found = [p for p in named if p in sources] if named else sorted(p for p in sources if p.endswith(".bib"))
         heads = [{"title": t, "level": n, "char_start": at} for t, n, at in latex.headings(body if mark else full, text)]
-        return pd.DataFrame([{"doc_id": doc, "main": main, "expanded": full, "preamble": head, "body": body, "visible": latex.visible(body), "structural": latex.structural(body), "text": text, "headings": heads, "read": read, "bib_paths": found, "bib_declared": bool(named), "error": error or problem}])
+        return pd.DataFrame([{"doc_id": doc, "main": main, "expanded": full, "preamble": head, "body": body, "visible": latex.visible(body), "structural": latex.structural(body), "text": text, "headings": heads, "read": read, "bib_paths": found, "bib_declared": bool(named) or any(p.lower().endswith(".bib") and p not in sources for p in rows["path"]), "error": problem or error}])
 
     return texts.join(mains, "doc_id").groupBy("doc_id").applyInPandas(assemble, PROJECT)
 
@@ -64,15 +79,16 @@ def projects(files: DataFrame) -> DataFrame:
 def bib_entries(files: DataFrame, projects: DataFrame) -> DataFrame:
     """Entries of each project's bibliography in order."""
     wanted = projects.select("doc_id", F.posexplode("bib_paths").alias("file_no", "path"))
-    chosen = files.join(wanted, ["doc_id", "path"]).select("doc_id", "file_no", F.decode("content", "UTF-8").alias("text"))
+    chosen = files.join(wanted, ["doc_id", "path"]).select("doc_id", "file_no", utf8(F.col("content")).alias("text")).where("text IS NOT NULL")
 
     def scan(batches):
         for pdf in batches:
-            rows = [(d, n * 1_000_000 + i, k, t, list(f.items())) for d, n, text in zip(pdf["doc_id"], pdf["file_no"], pdf["text"], strict=True) for i, (k, t, f) in enumerate(bibtex.entries(text))]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "key", "entry_type", "fields"])
+            rows = [(d, n, i, k, t, list(f.items())) for d, n, text in zip(pdf["doc_id"], pdf["file_no"], pdf["text"], strict=True) for i, (k, t, f) in enumerate(bibtex.entries(unicodedata.normalize("NFC", text)))]
+            yield pd.DataFrame(rows, columns=["doc_id", "file_no", "no", "key", "entry_type", "fields"])
 
-    made = chosen.mapInPandas(scan, "doc_id string, pos int, key string, entry_type string, fields array<struct<k:string,v:string>>")
-    return made.withColumn("fields", F.map_from_entries("fields"))
+    made = chosen.mapInPandas(scan, "doc_id string, file_no int, no int, key string, entry_type string, fields array<struct<k:string,v:string>>")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("file_no", "no")) - 1
+    return made.select("doc_id", place.alias("pos"), "key", "entry_type", F.map_from_entries("fields").alias("fields"))
 
 
 ALIASES = {"annotation": ["аннотация", "реферат", "abstract"], "introduction": ["введение", "introduction"], "conclusion": ["заключение", "выводы", "выводы и рекомендации", "conclusion"]}
