@@ -3,23 +3,28 @@
 Two texts are linked where the sets of their 5-word shingles (XXH64, seed 42) have a Jaccard similarity of 4/5 or more, or
 where ``simhash.links`` links their fingerprints. No pair is lost before it is verified:
 
-1. A set of ``n`` shingles can reach 4/5 only with sets that hold ``ceil(4n / 5)`` of its own, so under any one order of
-   all shingles two such sets meet among the first ``n - ceil(4n / 5) + 1`` of each (prefix filter). Those are the posts.
+1. Under any one order of all shingles, let the first that two sets of ``n`` and ``m`` share stand at places ``i`` and ``j`` (from 0). They share at
+   most ``min(n - i, m - j)``, and at 4/5 they share ``4 (n + m) / 9`` or more. So a set of ``n`` posts its first ``n - ceil(4n / 5) + 1``
+   shingles with their places, and two sets need comparing only where the places of a shared post leave room for that (``_reach``).
 2. The order puts shingles that a sample finds in many texts last and goes by hash otherwise, so common lines make few
    posts. The sample decides the cost only; any order gives the same links.
 3. Each bucket first compares its members with one hub, the set of which most posts are shared. Members that are by then in
-   the hub's component need no comparison with each other; every other member is compared with all.
-4. Survivors of the size test and of a bound by their posts are verified by the intersection of the whole sets.
+   the hub's component need no comparison with each other; every other member is compared with all. An edited copy's own
+   shingles come first in the order, so one with too many edits to be a link has its common posts too late to reach others.
+4. A set's bitmap has 512 bits, each the parity of the number of its shingles that hash there. Bits in which two bitmaps differ are at most
+   the shingles that are in one of the sets only, which at 4/5 are at most ``(n + m) / 9``; the join itself discards the other pairs.
+5. Survivors of a bound by all their posts are verified by the intersection of the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -29,6 +34,8 @@ from .graph import stars
 WORDS = 5
 #: Documents of the sample that tells common shingles, how many of them make a shingle common, and how many such are told at most.
 SAMPLE, COMMON, TOLD = 10_000, 2, 100_000
+#: Slots of document ids, the bound of a broadcast; the more ids are wanted, the less it holds back.
+SLOTS = 1 << 18
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -47,6 +54,11 @@ def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0]
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """512 bits: the parity of the number of hashes in each 512th of their range."""
+    return np.packbits(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1, bitorder="little").view("<i8")
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))
 
@@ -74,7 +86,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def features(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """``doc_id``, fingerprint ``fp``, ``node``, its size ``n`` and its ``posts``. Reads whole texts once; no shuffle."""
+    """``doc_id``, fingerprint ``fp``, ``node``, its size ``n``, its ``bitmap`` and its ``posts``. Reads whole texts once; no shuffle."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -84,15 +96,22 @@ def features(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 part = b.slice(at, 64)
                 texts = [x.as_py() for x in part.column(1)]
                 rows = [shingles(t) for t in texts]
-                cols = [pa.array((simhash.simhash(t) if t else 0 for t in texts), pa.int64()), pa.array(map(node_of, rows), pa.int64()), pa.array(map(len, rows), pa.int32())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols, _lists([prefix(r, sent.value) for r in rows])], ["doc_id", "fp", "node", "n", "posts"])
+                cols = [pa.array((simhash.simhash(t) if t else 0 for t in texts), pa.int64()), pa.array(map(node_of, rows), pa.int64()), pa.array(map(len, rows), pa.int32()), _lists([bitmap(r) for r in rows])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, _lists([prefix(r, sent.value) for r in rows])], ["doc_id", "fp", "node", "n", "bitmap", "posts"])
 
-    schema = docs.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("posts")).schema
+    schema = docs.select("doc_id", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("node"), F.lit(0).alias("n"), *[F.array(F.lit(0).cast("long")).alias(c) for c in ("bitmap", "posts")]).schema
     return docs.select("doc_id", docs["text"].cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def _fits(a: str, b: str):
-    return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
+def _reach(a: str, i: str, b: str, j: str):
+    """Whether sets of sizes ``a`` and ``b`` whose first shared shingle stands at places ``i`` and ``j`` can be at 4/5."""
+    return 9 * F.least(F.col(a) - F.col(i), F.col(b) - F.col(j)) >= 4 * (F.col(a) + F.col(b))
+
+
+def _may(a: str, x: str, b: str, y: str):
+    """Whether sets of sizes ``a`` and ``b`` with bitmaps ``x`` and ``y`` can be at 4/5."""
+    apart = reduce(Column.__add__, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(8)])
+    return 9 * apart <= F.col(a) + F.col(b)
 
 
 def _verified(pairs: DataFrame, posts: DataFrame, docs: DataFrame, name: str) -> DataFrame:
@@ -108,7 +127,11 @@ def _verified(pairs: DataFrame, posts: DataFrame, docs: DataFrame, name: str) ->
     # Ids may be null or repeated with other texts, so a row is recognised by its node once its set is made.
     wanted = materialize(likely.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{name}-wanted")
     ids = materialize(likely.select(F.explode(F.array("du", "dv")).alias("doc_id")).distinct(), f"{name}-ids")
-    rows = docs.join(ids, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    # Texts are let through by the slots of the wanted ids first, so that few of the others are shuffled.
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = ids.select(slot("doc_id").alias("slot")).distinct()
+    some = docs.withColumn("__slot", slot("doc_id")).join(F.broadcast(slots), F.col("__slot") == F.col("slot"), "left_semi").drop("__slot")
+    rows = some.join(ids, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
     sets = materialize(shingle_sets(rows).join(wanted, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
     a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"m{x}")) for x in "uv")
     shared = F.size(F.array_intersect("mu", "mv"))
@@ -118,30 +141,33 @@ def _verified(pairs: DataFrame, posts: DataFrame, docs: DataFrame, name: str) ->
 def links(docs: DataFrame, feats: DataFrame) -> DataFrame:
     """Edges ``(u, v)`` between nodes which connect all pairs at a similarity of 4/5 or more."""
     least = feats.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    posts = materialize(feats.where("n > 0").select("node", "n", "posts").dropDuplicates(["node"]).join(least, "node"), "near-posts")
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = materialize(posts.select("node", "n", F.explode("posts").alias("key")).withColumn("size", size).where("size > 1").drop("size"), "near-shared")
+    posts = materialize(feats.where("n > 0").select("node", "n", "bitmap", "posts").dropDuplicates(["node"]).join(least, "node"), "near-posts")
+    placed = posts.select("node", "n", F.posexplode("posts").alias("at", "key"))
+    met = placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    shared = materialize(placed.join(met, "key"), "near-shared")
     degree = shared.groupBy("node").agg((F.count(F.lit(1)) / (F.first("n") + 1 - F.ceil(F.first("n") * 4 / 5))).alias("degree"))
 
-    hubs = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
-    hubs = materialize(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "near-hubs")
-    first = shared.join(hubs, "key").where((F.col("node") != F.col("hub")) & _fits("n", "hub_n"))
+    hubs = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "n", "at")).alias("hub"))
+    hubs = materialize(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at")), "near-hubs")
+    first = shared.join(hubs, "key").where((F.col("node") != F.col("hub")) & _reach("n", "at", "hub_n", "hub_at"))
     first = first.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
     near = materialize(_verified(first, posts, docs, "near-first"), "near-first")
 
     star = stars(near, "near-stars").select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = shared.join(star, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = posts.select("node", "bitmap").join(star, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(shared.join(known, "node"), "near-rooted")
     of_hub = hubs.join(star.withColumnsRenamed({"node": "hub", "root": "hub_root"}), "hub", "left").select("key", "hub", F.coalesce("hub_root", "hub").alias("hub_root"))
-    apart = rooted.join(of_hub, "key").where("root <> hub_root").select("key", "hub", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-    other = rooted.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
-    # The hub itself has been compared with all of the bucket.
-    second = apart.join(other, "key").where((F.col("ar") != F.col("br")) & (F.col("b") != F.col("hub")) & _fits("an", "bn"))
+    apart = rooted.join(of_hub, "key").where("root <> hub_root").select("key", "hub", F.col("node").alias("a"), F.col("n").alias("an"), F.col("at").alias("ai"), F.col("root").alias("ar"), F.col("bitmap").alias("am"))
+    other = rooted.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bi"), F.col("root").alias("br"), F.col("bitmap").alias("bm"))
+    # The hub itself has been compared with all of the bucket that it can reach there.
+    second = apart.join(other, "key").where((F.col("ar") != F.col("br")) & (F.col("b") != F.col("hub")) & _reach("an", "ai", "bn", "bi") & _may("an", "am", "bn", "bm"))
     second = second.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     return near.unionByName(materialize(_verified(second, posts, docs, "near-second"), "near-second"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``component_id``, the smallest ``doc_id`` that links reach, of every row of ``docs``."""
+    docs = docs.select("doc_id", "text")
     feats = materialize(features(docs, common_shingles(docs)), "near-features")
     nodes = feats.groupBy("node").agg(F.min("doc_id").alias("doc"))
     fps = materialize(feats.groupBy("fp", "node").agg(F.min("doc_id").alias("doc")), "near-fingerprints")
