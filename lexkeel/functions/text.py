@@ -6,6 +6,9 @@ same patterns then mean the same in RE2. Offsets are code points everywhere.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +21,16 @@ def utf8(content: Column) -> Column:
     return F.try_validate_utf8(content.cast("string"))
 
 
+def nfc(text: Column) -> Column:
+    """Composed text; the JVM's functions have no normal forms, so it runs in Arrow batches, on text that isn't plain ASCII only."""
+
+    @F.pandas_udf("string")
+    def composed(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), composed(text)).otherwise(text)
+
+
 def estimate_tokens(text: Column) -> Column:
     """A token for every four UTF-8 bytes begun; none for an empty text."""
     return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4).cast("int")

@@ -56,23 +56,43 @@ def contains_any(texts: DataFrame, needles: DataFrame, text: str = "text", needl
     character of its own, or half as many from there (texts offer both at each word start, and that one is a
     word start in any text); or its first ``shingle`` (texts offer these wherever no word starts within half as many,
     so at most positions of unspaced scripts and at few of others). Needles that are too short for all of
-    these are tried on every text: Spark broadcasts them where its size estimate allows.
+    these are shorter than two shingles: for each of their few lengths texts offer what stands at every position.
+
+    Only hashes of texts and the characters offered are exploded and joined; the texts themselves join once, to what is left.
     """
     word, other, half = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]", shingle // 2
     spaced = F.concat(F.lit(" "), F.col(text))
     at_words = F.regexp_extract_all(spaced, F.lit(rf"(?s)(?<!{word})(?=({word}.{{{half - 1},{shingle - 1}}}))"), F.lit(1))
     inside = F.regexp_extract_all(spaced, F.lit(rf"(?s)(?!.{{0,{half - 1}}}?{other}{word})(?=(.{{{shingle}}}))"), F.lit(1))
-    offered = F.array_distinct(F.concat(at_words, F.transform(at_words, lambda g: F.substring(g, 1, half)), inside))
-    inner = lambda size: F.nullif(F.regexp_extract(F.col(needle), rf"(?s)^.*?{other}({word}.{{{size - 1}}})", 1), F.lit(""))
-    keys = needles.withColumn("__p", F.coalesce(inner(shingle), inner(half), F.when(F.length(needle) >= shingle, F.substring(needle, 1, shingle))))
-    long, short = keys.where(F.col("__p").isNotNull()), keys.where(F.col("__p").isNull()).drop("__p")
-    holds = F.contains(F.col(text), F.col(needle))
-    by_key = texts.withColumn("__p", F.explode(offered)).join(long, "__p").where(holds).drop("__p")
-    rest = texts.join(short, holds)
-    return by_key.unionByName(rest.select(*by_key.columns))
+    own = needles.select(F.col(needle).alias("__n")).where("__n IS NOT NULL").distinct()
+    keys = own.withColumn("__p", F.coalesce(_inner(shingle, word, other), _inner(half, word, other), F.when(F.length("__n") >= shingle, F.substring("__n", 1, shingle))))
+    short = keys.where("__p IS NULL AND __n <> ''").select("__n")
+    lengths = sorted(r[0] for r in short.select(F.length("__n")).distinct().collect())  # at most as many as a short needle has characters
+    every = [F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    offered = F.array_distinct(F.concat(at_words, F.transform(at_words, lambda g: F.substring(g, 1, half)), inside, *every))
+    posts = texts.select(F.xxhash64(text).alias("__h"), F.explode(offered).alias("__p")).distinct()
+    pairs = posts.join(keys.where("__p IS NOT NULL").unionByName(short.withColumn("__p", F.col("__n"))), "__p").select("__h", "__n").distinct()
+    hashed = texts.withColumn("__h", F.xxhash64(text))
+    found = hashed.join(pairs, "__h").where(F.contains(F.col(text), F.col("__n"))).drop("__h")
+    # The empty needle is in every text.
+    found = found.unionByName(texts.where(F.col(text).isNotNull()).withColumn("__n", F.lit("")))
+    return found.join(needles, F.col("__n") == F.col(needle)).select(*texts.columns, *needles.columns)
+
+
+def _inner(size: int, word: str, other: str) -> Column:
+    return F.nullif(F.regexp_extract("__n", rf"(?s)^.*?{other}({word}.{{{size - 1}}})", 1), F.lit(""))
+
+
+#: Patterns of a table that are tried on each text in turn; a larger table is refused.
+PATTERNS = 1_000
 
 
 def first_pattern(texts: DataFrame, patterns: DataFrame, text: Column, key: str) -> DataFrame:
-    """The message of the first pattern (``pos``, ``pattern``, ``message``) that a text matches; patterns are a small, checked table."""
-    hit = texts.join(F.broadcast(patterns), F.expr("true")).where(F.regexp_like(text, F.col("pattern")))
-    return hit.groupBy(key).agg(F.min_by("message", "pos").alias("message"))
+    """The message of the first pattern (``pos``, ``pattern``, ``message``) that a text matches; patterns are a table of at most ``PATTERNS`` rows, tried in their order."""
+    rows = patterns.orderBy("pos", "pattern", "message").limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns")
+    none = F.lit(None).cast("struct<pos:bigint,message:string>")
+    first = F.coalesce(*[F.when(text.rlike(r["pattern"]), F.struct(F.lit(int(r["pos"])).cast("long").alias("pos"), F.lit(r["message"]).alias("message"))) for r in rows], none)
+    hit = texts.select(key, first.alias("hit")).where("hit IS NOT NULL")
+    return hit.groupBy(key).agg(F.min("hit").alias("hit")).select(key, "hit.message")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import locator
+from ..functions.text import nfc
 from ..operators.windows import head_tail
 
 #: Rule, roles, elements, chunks of a section, chunks in all, flags (a: all roles needed, h: headings only).
@@ -108,14 +109,19 @@ def plan(spark: SparkSession, sections: DataFrame, chunks: DataFrame, hidden: Da
 def verify(quotes: DataFrame, shown: DataFrame) -> DataFrame:
     """Quotes (``doc_id``, ``rule_id``, ``pos``, ``chunk_id``, ``quote``) against the chunks shown: ``error`` is null for a quote that stands, with its ``locator``.
 
-    ``shown`` has ``doc_id``, ``rule_id``, ``chunk_id``, ``text``, ``char_start``, ``digest``. A repeated quote of a chunk is a duplicate.
+    ``shown`` has ``doc_id``, ``rule_id``, ``chunk_id``, ``text``, ``char_start``, ``digest``. A repeated quote of a chunk is a duplicate, however its letters are composed.
     """
-    again = F.row_number().over(Window.partitionBy("doc_id", "rule_id", "chunk_id", "quote").orderBy("pos")) > 1
-    out = quotes.withColumn("again", again).join(shown, ["doc_id", "rule_id", "chunk_id"], "left")
-    at = F.expr("locate(quote, text)")
+    composed = quotes.withColumn("nfc", nfc(F.col("quote")))
+    again = F.row_number().over(Window.partitionBy("doc_id", "rule_id", "chunk_id", "nfc").orderBy("pos")) > 1
+    out = composed.withColumn("again", again).join(shown, ["doc_id", "rule_id", "chunk_id"], "left")
+    # Sources are composed when they are read; a quote stands as it is or composed.
+    as_is = F.expr("locate(quote, text)")
+    found = F.when(as_is > 0, F.col("quote")).otherwise(F.col("nfc"))
+    out = out.withColumn("found", found)
+    at = F.expr("locate(found, text)")
     error = F.when(F.col("again"), "duplicate_evidence").when(F.col("text").isNull(), "chunk_not_allowed").when((at == 0) | (F.col("quote") == ""), "quote_not_found")
     start = F.col("char_start") + at - 1
-    return out.select("doc_id", "rule_id", "pos", "chunk_id", "quote", error.alias("error"), F.when(error.isNull(), locator(F.col("digest"), start, start + F.length("quote"))).alias("locator"))
+    return out.select("doc_id", "rule_id", "pos", "chunk_id", "quote", error.alias("error"), F.when(error.isNull(), locator(F.col("digest"), start, start + F.length("found"))).alias("locator"))
 
 
 def acceptable(quote: Column) -> Column:
