@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, materialize, small_batches, table
+from .common import kept, materialize, small_batches, spare, table
 
 CHUNK, OVERLAP = 32_768, 1_024
 _U32 = np.dtype("<u4")
@@ -159,7 +159,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, keep: list[str] | Non
     schema = docs.select(*carried, *[F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in made.split(", "))]).schema
     ids_of, last = encoder(ranks_path), then or (lambda batches: batches)
     text = F.coalesce(docs["text"], F.lit(""))
-    short = docs.where(F.length(text) <= chunk + overlap).select(*carried, text.alias("__text"))
+    short = docs.where(F.length(text) <= chunk + overlap).select(*carried, text.alias(spare(docs, "__text")))
     done = short.mapInArrow(lambda batches: last(ids_of(batches)), schema)
 
     long = docs.where(F.length(text) > chunk + overlap).select(F.struct(*carried).alias("row"), F.monotonically_increasing_id().alias("key"), text.alias("text"))
@@ -184,7 +184,7 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, keep: list[str] |
     ranks_path = ranks_path or default_ranks()
     carried = kept(encoded, keep, ["bytes"])
 
-    return encoded.select(*carried, F.col("ids").alias("__ids")).mapInArrow(decoder(ranks_path), encoded.select(*carried, F.lit(b"").alias("bytes")).schema)
+    return encoded.select(*carried, F.col("ids").alias(spare(encoded, "__ids"))).mapInArrow(decoder(ranks_path), encoded.select(*carried, F.lit(b"").alias("bytes")).schema)
 
 
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"

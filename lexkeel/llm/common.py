@@ -87,6 +87,14 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def kept(df: DataFrame, keep: list[str] | None, made: list[str]) -> list[Column]:
     """Columns to carry along: ``keep``, or all but those whose name an operator is about to make."""
     names = [c for c in df.columns if c.lower() not in made] if keep is None else keep

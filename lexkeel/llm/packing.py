@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, table
+from .common import kept, small_batches, spare, table
 
 LONGEST = 4096
 END = 2
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None =
             if rows[0]:
                 yield flush()
 
-    pieces = docs.select(*carried, docs["text"].alias("__text")).mapInArrow(run, schema)
+    pieces = docs.select(*carried, docs["text"].alias(spare(docs, "__text"))).mapInArrow(run, schema)
     number = F.shiftleft(F.col("bucket").cast("long"), 59).bitwiseOR(F.monotonically_increasing_id())
     return pieces.withColumns({"sequence_id": number, "offset": F.lit(0).cast("long")})
 

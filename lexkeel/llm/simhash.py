@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, materialize, small_batches, table
+from .common import kept, materialize, small_batches, spare, table
 from .graph import stars
 
 RADIUS = 2
@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             fp = pa.array((simhash(t) if t else 0 for t in (x.as_py() for x in b.column(b.num_columns - 1))), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], [*b.schema.names[:-1], "fp"])
 
-    text = docs["text"].cast("binary").alias("__text")
+    text = docs["text"].cast("binary").alias(spare(docs, "__text"))
     return docs.select(*carried, text).mapInArrow(run, docs.select(*carried, F.lit(0).cast("long").alias("fp")).schema)
 
 

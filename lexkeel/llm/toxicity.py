@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, table
+from .common import kept, small_batches, spare, table
 
 _WORD = re.compile(r"\w+")
 _CACHE_WORDS = 200_000
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Ftrl = Ftrl(
     small_batches(spark)
     carried = kept(docs, keep, ["score", "predicted"])
     bits, sent = p.bits, spark.sparkContext.broadcast((np.asarray(model[0], np.int64), np.asarray(model[1], np.float64)))
-    rest = docs.select(*carried, docs["text"].alias("__scored_text"))
+    rest = docs.select(*carried, docs["text"].alias(spare(docs, "__scored_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = sent.value
