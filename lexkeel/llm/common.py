@@ -99,3 +99,27 @@ def kept(df: DataFrame, keep: list[str] | None, made: list[str]) -> list[Column]
     """Columns to carry along: ``keep``, or all but those whose name an operator is about to make."""
     names = [c for c in df.columns if c.lower() not in made] if keep is None else keep
     return [F.col(f"`{c}`") for c in names]
+
+
+def attach(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row a key, and ``size`` is how many rows have that key.
+
+    Keys with over a thousandth of all rows are fewer than a thousand, so those groups are broadcast and no task gets all
+    rows of such a key; the others join by hash. Null keys match null keys. Both sides are read twice: hand in written tables.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * 1000 > total
+    made = [c for c in groups.columns if c not in on]
+    renamed = groups.select(*[F.col(c).alias(f"__on_{c}") for c in on], *made)
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        same = None
+        for c in on:
+            one = left[c].eqNullSafe(right[f"__on_{c}"])
+            same = one if same is None else same & one
+        return left.join(right, same, how)
+
+    big = F.broadcast(renamed.where(hot))
+    crowd = joined(rows, big, "inner").select(*rows.columns, *made)
+    rest = joined(joined(rows, big.select(*[f"__on_{c}" for c in on]), "left_anti"), renamed.where(~hot), "inner").select(*rows.columns, *made)
+    return crowd.unionByName(rest)

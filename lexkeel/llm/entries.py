@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, hnsw, licenses, packing, pii, quality, simhash, toxicity, warc
+from . import bpe, chat, hnsw, licenses, packing, pii, quality, simhash, snapshots, toxicity, variants, vectorcodes, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,11 @@ def queries() -> dict[str, Query]:
         "op8_licenses": licenses.op8,
         "op9_pii": pii.op9,
         "op10_chat": chat.op10,
+        "op11_spelling": variants.op11,
+        "op12_vector_codes": vectorcodes.op12,
+        "op13_exact_dedup": snapshots.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.OP3_SQL, "op5_warc": warc.OP5_SQL, "op9_pii": pii.OP9_SQL, "op10_chat": chat.OP10_SQL}
+    return {"op3_quality_rules": quality.OP3_SQL, "op5_warc": warc.OP5_SQL, "op9_pii": pii.OP9_SQL, "op10_chat": chat.OP10_SQL, "op11_spelling": variants.OP11_SQL, "op12_vector_codes": vectorcodes.OP12_SQL, "op13_exact_dedup": snapshots.OP13_SQL}
