@@ -16,7 +16,7 @@ API_KEY = r"\b(?:sk-[A-Za-z0-9_-]{8,}|AQVN[A-Za-z0-9_-]{8,})\b"
 BEARER = r"(?i)\bBearer\s+[A-Za-z0-9._~+/-]{8,}=*"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 WINDOWS_PATH = r"""(?i)(?<![A-Za-z0-9_])(?:[A-Z]:[\\/]|\\\\[^\\/\s]+[\\/])[^ \t\r\n,;:'"<>|?*]+"""
-POSIX_PATH = r"""(?<![\p{L}\p{N}_:/])/(?:[^/ \t\r\n,;:'"<>{}\[\]()]+/)*[^/ \t\r\n,;:'"<>{}\[\]()]+"""
+POSIX_PATH = r"""(?<![\p{L}\p{N}_:/])/[^/ \t\r\n,;:'"<>{}\[\]()]++(?:/[^/ \t\r\n,;:'"<>{}\[\]()]++)*+"""
 HOME_PATH = r"""(?<![A-Za-z0-9_])~/[^ \t\r\n,;:'"<>{}\[\]()]+"""
 PROMPT = r"""(?is)(\b(?:raw_prompt|prompt_text|system_prompt|llm_prompt)\b\s*[:=]\s*)(['"]).*?\2"""
 TRACEBACK = r"(?ims)\s*^Traceback \(most recent call last\):.*\z"

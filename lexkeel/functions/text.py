@@ -42,7 +42,7 @@ def word_count(text: Column) -> Column:
 
 def compound_word_count(text: Column) -> Column:
     """Words in which a hyphen or apostrophe between word characters does not end the word."""
-    return F.size(F.regexp_extract_all(text, F.lit(rf"{WORD}(?:[-'’]{WORD})*"), F.lit(0)))
+    return F.size(F.regexp_extract_all(text, F.lit(rf"{WORD}+(?:[-'’]{WORD}+)*+"), F.lit(0)))
 
 
 def keep_only(text: Column, negated_class: str) -> Column:
@@ -75,7 +75,7 @@ def plain_title(title: Column) -> Column:
     """A heading without numbering, case and punctuation."""
     t = F.translate(F.lower(title), "ё", "е")
     t = F.regexp_replace(t, r"^\s*(?:глава|раздел)\s+[0-9]+[.\s:—-]*", "")
-    t = F.regexp_replace(t, r"^\s*[0-9]+(?:\.[0-9]+)*[.\s:—-]+", "")
+    t = F.regexp_replace(t, r"^\s*+[0-9]++(?:\.[0-9]++(?=[.\s:—-]))*+[.\s:—-]++", "")
     return F.array_join(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), " ")
 
 

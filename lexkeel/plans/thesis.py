@@ -71,7 +71,7 @@ def facts(spark: SparkSession, projects: DataFrame, sections: DataFrame, files:
         parts.append(gather(figure_pages, "figure_pages", "no", "caption_page", "ref_page"))
     if typography is not None:
         parts.append(typography)
-    out = projects.drop("headings", "read", "expanded")
+    out = projects.drop("headings", "read", "expanded", "source_map")
     if pages is not None:
         out = out.join(pages.select("doc_id").distinct(), "doc_id", "full")
     for p in parts:
@@ -219,7 +219,7 @@ def shorter(limit: int) -> Column:
 
 
 def algorithm(pattern: str, what: str) -> Column:
-    section = F.get(sections_where(lambda s: (s["level"] <= 2) & F.translate(F.lower(s["title"]), "ё", "е").rlike(r"(?iu)^(?:\s*[0-9]+(?:\.[0-9]+)*[.\s:—-]+)?" + ALGORITHM_TITLE[5:].lstrip("^"))), F.lit(0))
+    section = F.get(sections_where(lambda s: (s["level"] <= 2) & F.translate(F.lower(s["title"]), "ё", "е").rlike(r"(?iu)^(?:\s*+[0-9]++(?:\.[0-9]++(?=[.\s:—-]))*+[.\s:—-]++)?+" + ALGORITHM_TITLE[5:].lstrip("^"))), F.lit(0))
     body = L.section_body(F.col("visible"), section["title"])
     hit = F.regexp_replace(body, LITERALS, " ").rlike(pattern)
     return F.when(section.isNull() | body.isNull(), one("unverifiable", "no algorithm section")).when(hit, one("pass", what, locator=section["locator"])).otherwise(one("warn", f"{what}: not found", locator=section["locator"]))
@@ -410,7 +410,7 @@ def _long_tables() -> Column:
 
 
 def _repository() -> Column:
-    mine = sections_where(lambda s: (s["kind"] == "appendix") | F.regexp_replace(F.translate(F.lower(s["title"]), "ё", "е"), r"^\s*[0-9]+(?:\.[0-9]+)*[.\s:—-]+", "").rlike(APPENDIX_TITLE))
+    mine = sections_where(lambda s: (s["kind"] == "appendix") | F.regexp_replace(F.translate(F.lower(s["title"]), "ё", "е"), r"^\s*+[0-9]++(?:\.[0-9]++(?=[.\s:—-]))*+[.\s:—-]++", "").rlike(APPENDIX_TITLE))
     hits = F.filter(mine, lambda s: F.substring(F.col("text"), s["char_start"] + 1, s["char_end"] - s["char_start"]).rlike(REPOSITORY))
     return F.when(F.size(mine) == 0, one("not_applicable", "no appendices")).when(F.size(hits) > 0, one("pass", "a repository is named", locator=F.get(hits, F.lit(0))["locator"])).otherwise(one("info", "no repository is named", locator=F.get(mine, F.lit(0))["locator"]))
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 from pathlib import PurePosixPath
+from re._parser import SubPattern  # the standard library's own parser of patterns
+from re._parser import parse as parse_pattern
 from typing import Any
 
 import pandas as pd
@@ -87,6 +89,8 @@ def _rows_of(policy: Any) -> list[tuple[str, int, str, str]]:
                     re.compile(x["pattern"])
                 except re.error as e:
                     raise RulebookError(f"not a valid pattern: {x['pattern']}") from e
+                if _may_run_away(x["pattern"]):
+                    raise RulebookError(f"a pattern repeats what itself varies: {x['pattern']}")
                 if JAVA_DIFFERS.search(x["pattern"]):
                     raise RulebookError(f"not a portable pattern: {x['pattern']}")
                 row[0] = LITERAL_BRACE.sub(r"\\{", x["pattern"])
@@ -94,6 +98,40 @@ def _rows_of(policy: Any) -> list[tuple[str, int, str, str]]:
     return out
 
 
+def _may_run_away(pattern: str) -> bool:
+    """Whether a group without a bound holds a choice or another repetition.
+
+    On such a group an engine that backtracks takes a stack frame a round, or exponential time: one project's pattern would end everybody's run.
+    """
+
+    def walk(items: Any, repeated: bool) -> bool:
+        for op, arg in items:
+            name = str(op)
+            if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+                low, high, inner = arg
+                varies = high != low
+                simple = len(inner) == 1 and str(inner[0][0]) in ("LITERAL", "NOT_LITERAL", "ANY", "IN", "CATEGORY")
+                if repeated and varies:
+                    return True
+                if walk(inner, repeated or (not simple and high > MANY)):
+                    return True
+            elif name == "IN" and repeated and "|" in pattern:  # the parser makes a class of a choice between letters
+                return True
+            elif name == "BRANCH" and (repeated or any(walk(b, repeated) for b in arg[1])):
+                return True
+            elif name in ("SUBPATTERN", "ASSERT", "ASSERT_NOT", "ATOMIC_GROUP", "GROUPREF_EXISTS"):
+                for inner in arg if isinstance(arg, tuple) else (arg,):
+                    if isinstance(inner, SubPattern) and walk(inner, repeated):
+                        return True
+        return False
+
+    return walk(parse_pattern(pattern), False)
+
+
+#: Rounds of a group that need no thought about the stack.
+MANY = 100
+
+
 #: What Python's engine accepts and Java's does not, or reads otherwise: named groups and conditionals of Python, a bracket or ``&&`` inside a class, and escapes of letters.
 JAVA_DIFFERS = re.compile(r"\(\?(?:P|\(|[aLu]*[aLu])|\[\^?\]|\[[^\]\\]*(?:\[|&&)|\\[NpPUQEGKR]|\\$")
 
@@ -113,6 +151,8 @@ def _policy_rows(files: DataFrame) -> DataFrame:
                     out.append((doc, "fault", 0, "not UTF-8", None))
                 except RulebookError as e:
                     out.append((doc, "fault", 0, str(e), None))
+                except Exception as e:
+                    out.append((doc, "fault", 0, f"not usable: {type(e).__name__}", None))
             yield pd.DataFrame(out, columns=["doc_id", "what", "pos", "a", "b"])
 
     return files.where(F.col("path") == POLICY).select("doc_id", "content").mapInPandas(rows, "doc_id string, what string, pos int, a string, b string")

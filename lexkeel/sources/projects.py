@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import bibtex, latex
+from ..functions import bibtex, latex, texscan
 from ..functions.text import plain_title, utf8
 
-PROJECT = "doc_id string, main string, expanded string, preamble string, body string, visible string, structural string, text string, headings array<struct<title:string,level:int,char_start:int>>, read array<string>, bib_paths array<string>, bib_declared boolean, error string"
+PROJECT = "doc_id string, main string, expanded string, preamble string, body string, visible string, structural string, text string, headings array<struct<title:string,level:int,char_start:int>>, read array<string>, bib_paths array<string>, bib_declared boolean, error string, source_map array<struct<at:int,n:int,source:int,offset:int,m:int>>"
 BIB = "doc_id string, pos int, key string, entry_type string, fields map<string,string>"
 
 
@@ -56,22 +56,11 @@ def projects(files: DataFrame) -> DataFrame:
 
     def assemble(rows: pd.DataFrame) -> pd.DataFrame:
         doc, main = rows["doc_id"].iloc[0], rows["main"].iloc[0]
-        problem, sources = None, {}
-        for path, raw in zip(rows["path"], rows["content"], strict=True):
-            try:
-                sources[path] = unicodedata.normalize("NFC", bytes(raw).decode())
-            except UnicodeDecodeError:
-                # A bibliography that cannot be read leaves the rules over sources alone.
-                problem = problem or ("a source is not UTF-8" if path.lower().endswith(".tex") else None)
-        full, read, error = latex.expand({k: v for k, v in sources.items() if k.endswith(".tex")}, main)
-        head, mark, body = full, "", ""
-        if parts := latex.re.search(r"\\begin\s*\{document\}", full, latex.re.I):
-            head, mark, body = full[: parts.start()], parts[0], full[parts.end() :]
-        text = latex.plain(body if mark else full)
-        named = latex.bibliography_files(full, main)
-        found = [p for p in named if p in sources] if named else sorted(p for p in sources if p.endswith(".bib"))
-        heads = [{"title": t, "level": n, "char_start": at} for t, n, at in latex.headings(body if mark else full, text)]
-        return pd.DataFrame([{"doc_id": doc, "main": main, "expanded": full, "preamble": head, "body": body, "visible": latex.visible(body), "structural": latex.structural(body), "text": text, "headings": heads, "read": read, "bib_paths": found, "bib_declared": bool(named) or any(p.lower().endswith(".bib") and p not in sources for p in rows["path"]), "error": problem or error}])
+        try:
+            out = _assembled(dict(zip(rows["path"], rows["content"], strict=True)), main)
+        except Exception as e:  # whatever a project holds, the others get their results
+            out = _EMPTY | {"error": f"the project cannot be read: {type(e).__name__}"}
+        return pd.DataFrame([{"doc_id": doc, "main": main} | out])
 
     return texts.join(mains, "doc_id").groupBy("doc_id").applyInPandas(assemble, PROJECT)
 
@@ -83,7 +72,12 @@ def bib_entries(files: DataFrame, projects: DataFrame) -> DataFrame:
 
     def scan(batches):
         for pdf in batches:
-            rows = [(d, n, i, k, t, list(f.items())) for d, n, text in zip(pdf["doc_id"], pdf["file_no"], pdf["text"], strict=True) for i, (k, t, f) in enumerate(bibtex.entries(unicodedata.normalize("NFC", text)))]
+            rows = []
+            for d, n, text in zip(pdf["doc_id"], pdf["file_no"], pdf["text"], strict=True):
+                try:
+                    rows += [(d, n, i, k, t, list(f.items())) for i, (k, t, f) in enumerate(bibtex.entries(unicodedata.normalize("NFC", text)))]
+                except Exception:  # a bibliography that can't be read has no entries; other projects keep theirs
+                    continue
             yield pd.DataFrame(rows, columns=["doc_id", "file_no", "no", "key", "entry_type", "fields"])
 
     made = chosen.mapInPandas(scan, "doc_id string, file_no int, no int, key string, entry_type string, fields array<struct<k:string,v:string>>")
@@ -91,6 +85,36 @@ def bib_entries(files: DataFrame, projects: DataFrame) -> DataFrame:
     return made.select("doc_id", place.alias("pos"), "key", "entry_type", F.map_from_entries("fields").alias("fields"))
 
 
+_EMPTY = {"expanded": "", "preamble": "", "body": "", "visible": "", "structural": "", "text": "", "headings": [], "read": [], "bib_paths": [], "bib_declared": False, "source_map": []}
+
+
+def _assembled(contents: dict[str, bytes], main: str) -> dict:
+    """The columns of one project from its files' bytes."""
+    problem, sources, maps = None, {}, {}
+    for path, raw in contents.items():
+        try:
+            sources[path], maps[path] = texscan.composed(bytes(raw).decode())
+        except UnicodeDecodeError:
+            # A bibliography that cannot be read leaves the rules over sources alone.
+            problem = problem or ("a source is not UTF-8" if path.lower().endswith(".tex") else None)
+    got = texscan.expand({k: v for k, v in sources.items() if k.endswith(".tex")}, main)
+    full, head, body, start = got.text, got.text, "", 0
+    if mark := latex.re.search(r"\\begin\s*\{document\}", full, latex.re.I):
+        head, body, start = full[: mark.start()], full[mark.end() :], mark.end()
+    reading = texscan.read(body if mark else full)
+    # From the plain text over the expanded source and the composed files to the files as they are.
+    moved = [s._replace(offset=s.offset + start) for s in reading.spans]
+    files = {no: [s._replace(source=no) for s in maps[path]] for no, path in enumerate(got.read)}
+    spans = texscan.compose(texscan.compose(moved, {0: got.spans}), files)
+    named = latex.bibliography_files(full, main)
+    found = [p for p in named if p in sources] if named else sorted(p for p in sources if p.endswith(".bib"))
+    return {
+        "expanded": full, "preamble": head, "body": body, "visible": latex.visible(body), "structural": latex.structural(body), "text": reading.text,
+        "headings": [{"title": h.title, "level": h.level, "char_start": h.start} for h in reading.headings], "read": got.read, "bib_paths": found,
+        "bib_declared": bool(named) or any(p.lower().endswith(".bib") and p not in sources for p in contents), "error": problem or got.error, "source_map": [s._asdict() for s in spans],
+    }
+
+
 ALIASES = {"annotation": ["аннотация", "реферат", "abstract"], "introduction": ["введение", "introduction"], "conclusion": ["заключение", "выводы", "выводы и рекомендации", "conclusion"]}
 APPENDIX = r"(?iu)^(?:приложение|appendix)\s+([a-zа-яё0-9])(?![\p{L}\p{N}_])"
 
