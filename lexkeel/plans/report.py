@@ -1,14 +1,14 @@
 """Published reports: redacted findings, counters, a header; as JSON lines, Markdown and a console summary.
 
-Reports are rows; writing them is Spark's business (``write_reports``), so a rerun replaces whole
-partitions and a failed task leaves nothing half written.
+Reports are rows; ``publish_reports`` writes all tables of a report aside and commits them together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..commits import Commits
 from ..functions import redaction as R
 from . import gate as G
 
@@ -89,7 +89,28 @@ def summary(report: DataFrame) -> DataFrame:
 
 
 def write_reports(report: DataFrame, to: str) -> None:
-    """``report`` (JSON), ``markdown`` and ``summary`` under a folder of any store that Spark writes."""
+    """``report`` (JSON), ``markdown`` and ``summary`` as plain folders of any store that Spark writes, one after the other."""
     as_json(report).select("json").write.mode("overwrite").text(f"{to}/report")
     markdown(report).write.mode("overwrite").json(f"{to}/markdown")
     summary(report).write.mode("overwrite").json(f"{to}/summary")
+
+
+def publish_reports(report: DataFrame, to: str, findings: DataFrame | None = None) -> None:
+    """``report`` (JSON), ``markdown`` and ``summary`` as tables of one version under a folder, and ``stages`` if ``findings`` are given.
+
+    They become visible together: a run that dies between two of them leaves the report before it whole (``read_reports``).
+    """
+    commits = Commits(report.sparkSession, to)
+    parent = commits.latest()
+    tables = {"report": as_json(report), "markdown": markdown(report), "summary": summary(report)}
+    if findings is not None:
+        tables["stages"] = findings
+    put = {name: commits.write(df, name) for name, df in tables.items()}
+    commits.commit(parent, {n: [where] for n, (where, _) in put.items()}, {n: schema for n, (_, schema) in put.items()})
+
+
+def read_reports(spark: SparkSession, at: str) -> dict[str, DataFrame]:
+    """The tables of the last report that was written whole."""
+    commits = Commits(spark, at)
+    m = commits.latest()
+    return {name: commits.read(name, m) for name in m.schemas}

@@ -77,6 +77,7 @@ def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="python -m lexkeel", description="Checks the LaTeX projects in a folder, one folder each.")
     p.add_argument("root")
     p.add_argument("--out")
+    p.add_argument("--publish", help="a folder of versions: reports, Markdown, summaries and findings that become visible together")
     p.add_argument("--profile", default="software")
     p.add_argument("--only", nargs="*", default=[])
     p.add_argument("--final", action="store_true")
@@ -86,6 +87,8 @@ def main(args: list[str] | None = None) -> int:
     got = run(spark, a.root, Settings(a.profile, a.final, tuple(a.only), a.gate))
     if a.out:
         report.write_reports(got.reports, a.out)
+    if a.publish:
+        report.publish_reports(got.reports, a.publish, got.findings)
     for r in got.gate.groupBy("gate_status").count().orderBy("gate_status").collect():
         print(r["gate_status"], r["count"])
     return int(got.gate.agg(F.max("exit_code")).first()[0] or 0)

@@ -1,4 +1,4 @@
-"""The same rules over a stream: documents arrive as files, findings are upserted by document and fingerprint.
+"""The same rules over a stream: documents arrive as files, findings are upserted by document.
 
 Nothing in the rule plans collects or orders globally, so a micro-batch is just another DataFrame.
 """
@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.identity import fingerprint
+from ..functions.identity import cache_digest, fingerprint
 from ..schemas import TABLES
+from ..stages import StageStore
 
 Rules = Callable[[DataFrame], DataFrame]
 
@@ -21,21 +22,26 @@ def document_stream(spark: SparkSession, path: str, files_per_batch: int = 100)
     return spark.readStream.schema(TABLES["documents"]).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def evaluate_stream(docs: DataFrame, rules: Rules, to: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends each micro-batch's findings under its batch number; a repeated batch replaces its own output, so restarts leave no duplicates."""
+def content_key(docs: DataFrame, stage: str) -> DataFrame:
+    """``docs`` plus ``key``, the digest of all that a rule can see of a row but its id."""
+    seen = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00null")) for c in docs.columns if c != "doc_id"]
+    return docs.withColumn("key", cache_digest(F.lit(stage), *[F.sha2(c, 256) for c in seen]))
+
+
+def evaluate_stream(docs: DataFrame, rules: Rules, to: str, checkpoint: str, once: bool = True, stage: str = "rules") -> StreamingQuery:
+    """Upserts each micro-batch into the store at ``to``: only contents that no earlier batch had are evaluated, and a repeated batch changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rules(batch).withColumn("fingerprint", fingerprint()).drop("evidence", "path", "page").write.mode("overwrite").parquet(f"{to}/batch={number}")
+        found = lambda df: rules(df).withColumn("fingerprint", fingerprint())
+        StageStore(batch.sparkSession, to).update(content_key(batch, stage), found, batch=(checkpoint, number))
 
     writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def latest_findings(spark: SparkSession, at: str) -> DataFrame:
-    """Findings of the latest batch of each document: an upsert by reading."""
-    rows = spark.read.parquet(at)
-    last = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["doc_id", "batch"], "left_semi")
+    """Findings of the latest version of each document; one whose latest version has none has no row."""
+    return StageStore(spark, at).current().drop("key", "computed_in", "evidence", "path", "page")
 
 
 def event_rates(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lexkeel.plans import catalog, catalog_synthetic, catalog_theses  # noqa: F401
+from lexkeel.plans import catalog, catalog_sources, catalog_synthetic, catalog_theses  # noqa: F401
 from lexkeel.schemas import TABLES
 
 SF = Path("/root/testdata/sf0.001")
