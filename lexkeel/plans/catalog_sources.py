@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import locator, source_hash
 from ..sources import origins, policy
+from ..sources import pdf_bundle as B
 from ..sources import projects as P
 from ..stages import StageStore
 from ..storage import folder, keep
@@ -102,3 +103,77 @@ def incremental_findings(spark, sf_dir):
     store.update(content_key(before.unionByName(gone), "documents"), rules, complete=True)
     second = store.update(content_key(now, "documents"), rules, complete=True)
     return store.current().select("doc_id", "rule_id", "status", "message", (F.col("computed_in") == second.version).alias("computed"))
+
+
+# ---- pages of printed documents ----
+
+PIECE, LINES, CHAPTER = 80, 20, 35
+
+
+def printed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Spans and pages of every document as a PDF: its whole text in pieces, a running header a page, a heading every so many pieces."""
+    d = docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    d = d.withColumn("n", F.greatest(F.ceil(F.length("t") / PIECE), F.lit(1)).cast("int"))
+    k = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    rows = d.select("doc_id", "t", k.alias("k"))
+    item = lambda kind, text, size, y: F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(size).cast("double").alias("font_size"), y.cast("double").alias("y"))
+    at = F.col("k") % LINES * 30
+    made = F.array(
+        F.when(F.col("k") % LINES == 0, item(0, F.lit("Kopfzeile"), 20.0, F.lit(20.0))), F.when(F.col("k") % CHAPTER == 0, item(1, F.concat(F.lit("Kapitel "), (F.floor(F.col("k") / CHAPTER) + 1).cast("string")), 18.0, at + 100)),
+        item(2, F.expr(f"substring(t, {PIECE} * k + 1, {PIECE})"), 10.0, at + 110),
+    )
+    spans = rows.select("doc_id", (F.floor(F.col("k") / LINES) + 1).cast("int").alias("page"), (F.col("k") * 3).alias("k3"), F.explode(F.array_compact(made)).alias("i"))
+    place = F.col("k3") + F.col("i.kind")
+    box = F.struct(F.lit(50.0).alias("x0"), F.col("i.y").alias("y0"), F.lit(500.0).alias("x1"), (F.col("i.y") + 8).alias("y1"))
+    spans = spans.select("doc_id", "page", place.alias("place"), place.alias("block"), F.lit(0).alias("line"), "i.text", F.lit("Times").alias("font"), "i.font_size", F.lit(0).alias("flags"), box.alias("bbox"))
+    pages = rows.where(F.col("k") % LINES == 0).select("doc_id", (F.floor(F.col("k") / LINES) + 1).cast("int").alias("number"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(0).alias("rotation"))
+    return spans, pages
+
+
+@register("pdf_sections", rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, greatest(ceil(length(coalesce(text, '')) / {PIECE}.0), 1)::INT AS n FROM documents),
+k AS (SELECT doc_id, t, unnest(range(n)) AS k FROM d),
+i AS (SELECT doc_id, 3 * k AS place, k // {LINES} + 1 AS page, 'Kopfzeile' AS text, 20.0 AS size, 20.0 / 800 AS y FROM k WHERE k % {LINES} = 0
+ UNION ALL SELECT doc_id, 3 * k + 1, k // {LINES} + 1, 'Kapitel ' || (k // {CHAPTER} + 1), 18.0, (k % {LINES} * 30 + 100) / 800.0 FROM k WHERE k % {CHAPTER} = 0
+ UNION ALL SELECT doc_id, 3 * k + 2, k // {LINES} + 1, substr(t, {PIECE} * k + 1, {PIECE}), 10.0, (k % {LINES} * 30 + 110) / 800.0 FROM k),
+o AS (SELECT *, (coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS lo FROM i WHERE text <> ''),
+c AS (SELECT *, regexp_replace(text, '^[\s\x{{85}}\p{{Z}}]+|[\s\x{{85}}\p{{Z}}]+$', '', 'g') AS title FROM o),
+m AS (SELECT doc_id, median(size) AS body FROM c WHERE length(title) >= 2 GROUP BY doc_id),
+pages AS (SELECT doc_id, max(page) AS last, max(lo + length(text)) AS total FROM o GROUP BY doc_id),
+h AS (SELECT c.doc_id, title, lo, c.page FROM c JOIN m USING (doc_id) JOIN pages USING (doc_id) WHERE length(title) >= 2 AND size > 10 AND size >= body * 1.18 AND NOT (title = 'Kopfzeile' AND pages.last >= 2)),
+s AS (SELECT doc_id, replace(lower(title), ' ', '-') AS section_id, title, lo, coalesce(lead(lo) OVER (PARTITION BY doc_id ORDER BY lo), total) AS hi FROM h JOIN pages USING (doc_id)
+ UNION ALL SELECT doc_id, 'document-preamble', 'Преамбула', 0, min(lo) FROM h GROUP BY doc_id HAVING min(lo) > 0
+ UNION ALL SELECT doc_id, 'document', 'Документ', 0, total FROM pages WHERE doc_id NOT IN (SELECT doc_id FROM h))
+SELECT s.doc_id, section_id, s.title, s.lo::INT AS char_start, s.hi::INT AS char_end, min(o.page)::INT AS page_start, max(o.page)::INT AS page_end
+FROM s JOIN o ON o.doc_id = s.doc_id AND o.lo + length(o.text) > s.lo AND o.lo < s.hi GROUP BY ALL""")
+def pdf_sections(spark, sf_dir):
+    """Headings by font, running headers left out, and the pages of the sections that they open."""
+    spans, pages = printed(spark, sf_dir)
+    spans = keep(B.with_offsets(spans), "spans")
+    found = B.sections(spark, keep(B.documents(spans, pages), "pdf-documents"), spans, pages)
+    return found.select("doc_id", "section_id", "title", "char_start", "char_end", "page_start", "page_end")
+
+
+@register("printed_rules", """
+WITH r AS (SELECT doc_id, 'STR-03' AS rule_id, CASE WHEN doc_id % 3 = 0 THEN 'warn' ELSE 'pass' END AS status, CASE WHEN doc_id % 3 = 0 THEN doc_id % 4 + 3 END AS page FROM documents
+ UNION ALL SELECT doc_id, 'STR-04', CASE WHEN doc_id % 4 IN (1, 2) THEN 'pass' ELSE 'warn' END, CASE WHEN doc_id % 4 IN (0, 3) THEN 2 END FROM documents)
+SELECT doc_id::VARCHAR AS doc_id, rule_id, status, page::INT AS page FROM r""")
+def printed_rules(spark, sf_dir):
+    """STR-03 and STR-04 from spans to verdicts: a source for every document and its PDF, in which an introduction of 1 to 4 pages, a detail of 0 to 2 page turns and an end follow a contents page."""
+    d, i = docs(spark, sf_dir).select("doc_id"), F.col("doc_id")
+    files = made_files(d, ("main.tex", F.lit("\\begin{document}\n\\section{Введение}\nтекст\n\\subsection{Деталь}\nтекст\n\\section{Заключение}\nтекст\n\\end{document}")))
+    n, turns = (i % 4 + 1).cast("int"), (i % 3).cast("int")
+    pages = d.select(i.cast("string").alias("doc_id"), F.explode(F.sequence(F.lit(1), n + turns + 3)).alias("number"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(0).alias("rotation"), n.alias("n"), turns.alias("turns"))
+    at = F.col("number")
+    title = F.when(at == 1, "Содержание").when(at == 2, "Введение").when(at == F.col("n") + 2, "Деталь").when(at == F.col("n") + F.col("turns") + 3, "Заключение")
+    item = lambda text, size, y: F.struct(text.alias("text"), F.lit(size).alias("font_size"), F.lit(y).alias("y"))
+    body = [item(F.when(at == 1, f"Введение {k}").otherwise("текст страницы"), 12.0, 200.0 + 30 * k) for k in range(6)]
+    rows = pages.select("doc_id", at.alias("page"), F.posexplode(F.array_compact(F.array(F.when(title.isNotNull(), item(title, 18.0, 130.0)), *body))).alias("k", "i"))
+    place, box = at * 100 + F.col("k"), F.struct(F.lit(50.0).alias("x0"), F.col("i.y").alias("y0"), F.lit(500.0).alias("x1"), (F.col("i.y") + 8).alias("y1"))
+    spans = rows.withColumnRenamed("page", "number").select("doc_id", at.alias("page"), place.alias("place"), place.alias("block"), F.lit(0).alias("line"), "i.text", F.lit("Times").alias("font"), "i.font_size", F.lit(0).alias("flags"), box.alias("bbox"))
+    spans = keep(B.with_offsets(spans), "spans")
+    pages = pages.drop("n", "turns")
+    projects = keep(P.projects(files), "projects")
+    there = B.sections(spark, keep(B.documents(spans, pages), "pdf-documents"), spans, pages)
+    facts = H.facts(spark, projects, B.with_pages(P.sections(spark, projects), there), files, pages=pages)
+    return H.evaluate(spark, facts, H.B.Settings(only=("STR-03", "STR-04"))).select("doc_id", "rule_id", "status", "page")

@@ -138,8 +138,11 @@ def kinds(spark: SparkSession, titles: DataFrame) -> DataFrame:
     return known.where("kind IS NOT NULL").unionByName(rest)
 
 
-def sections(spark: SparkSession, projects: DataFrame) -> DataFrame:
-    """Sections that cover each text: ``doc_id``, ``section_id``, ``title``, ``norm``, ``kind``, ``level``, ``char_start``, ``char_end``, ``locator``."""
+def sections(spark: SparkSession, projects: DataFrame, collapse: bool = True) -> DataFrame:
+    """Sections that cover each text: ``doc_id``, ``section_id``, ``title``, ``norm``, ``kind``, ``level``, ``char_start``, ``char_end``, ``locator``.
+
+    ``collapse`` is for headings that nobody has freed of repetitions yet.
+    """
     from ..functions.identity import locator, source_hash
     from ..functions.text import slug
     from ..operators.windows import section_ends, serial_ids
@@ -150,7 +153,7 @@ def sections(spark: SparkSession, projects: DataFrame) -> DataFrame:
         near = (h["char_start"] - last["char_start"] <= 2) | (plain_title(h["title"]) == plain_title(last["title"]))
         return F.when((F.size(acc) > 0) & F.coalesce(near, F.lit(False)), acc).otherwise(F.concat(acc, F.array(h)))
 
-    kept = F.aggregate("headings", F.slice("headings", 1, 0), keep)
+    kept = F.aggregate("headings", F.slice("headings", 1, 0), keep) if collapse else F.col("headings")
     heads = projects.where(F.size("headings") > 0).select("doc_id", F.length("text").alias("total"), source_hash(F.col("text")).alias("digest"), F.explode(kept).alias("h"))
     heads = heads.select("doc_id", "total", "digest", "h.title", "h.level", "h.char_start").withColumn("norm", plain_title(F.col("title")))
     kind = kinds(spark, heads)
