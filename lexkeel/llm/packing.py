@@ -11,7 +11,7 @@ pass over the texts, no shuffle: however hot a source or long a text, its pieces
 Tokens: the text is normalised and split as the tokenizer file says, and each distinct word goes
 through the tokenizer once for as long as it is remembered. That holds for texts of characters on which all Unicode
 versions agree (``Words.odd``); any other text, and one that holds the string of a special token,
-goes through the tokenizer whole.
+goes through the tokenizer whole. So does every text where the file normalises or splits in any other way than ``WORDWISE``.
 
 Edge cases: a null or empty text has the end token alone, a piece of one token; very long texts give
 many pieces; repeated rows each give their pieces; an empty table gives none; only ``keep`` columns are carried.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import gc
 import itertools
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,21 @@ from pyspark.sql import functions as F
 from .common import kept, small_batches, spare, table
 
 LONGEST = 4096
+#: Buckets have four bits of ``sequence_id``.
+LIMIT = 1 << 15
 END = 2
+#: How a tokenizer file normalises, splits and models where ``Words`` may do it word by word.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
 #: Words remembered in each of two generations, and bits by which a word's first occurrence is noted.
 _REMEMBERED = 300_000
 _SEEN_BITS = 1 << 22
@@ -54,6 +69,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        told = json.loads(self.tok.to_str())
+        self.wordwise = all(told[k] == v for k, v in WORDWISE.items() if k != "model") and all(told["model"].get(k) == v for k, v in WORDWISE["model"].items())
         self.model = self.tok.model
         self.special = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
@@ -79,7 +96,7 @@ class Words:
         if not text:
             return b""
         low = text.lower()
-        if self.odd(text) or any(t in low for t in self.special):
+        if not self.wordwise or self.odd(text) or any(t in low for t in self.special):
             return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         get, fresh = self.known.get, self._fresh
         return b"".join([get(w) or fresh(w) for w in self.split(low)])
@@ -119,8 +136,8 @@ def lengths(n: int, longest: int = LONGEST) -> Iterator[int]:
 def pack(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None = None, longest: int = LONGEST) -> DataFrame:
     """A row for each piece: ``keep`` columns, ``start``, ``length``, ``ids`` (little-endian 32-bit), ``doc_tokens``,
     ``bucket`` (the exponent of its length), ``sequence_id`` and ``offset``."""
-    if longest & (longest - 1) or longest < 1:
-        raise ValueError("the longest sequence must be a power of two")
+    if longest & (longest - 1) or not 1 <= longest <= LIMIT:
+        raise ValueError(f"the longest sequence must be a power of two up to {LIMIT}")
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     made = {"start": "long", "length": "long", "ids": "binary", "doc_tokens": "long", "bucket": "int"}
