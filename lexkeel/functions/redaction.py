@@ -5,8 +5,11 @@ Replacements run in a fixed order, since a later pattern may see what an earlier
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Markers, lengths and patterns of the published contract.
 MARK, PATH_MARK, TRACE_MARK, CUT_MARK, MAX_CHARS = "[REDACTED]", "[REDACTED_PATH]", "[REDACTED_TRACEBACK]", "[TRUNCATED]", 240
@@ -54,3 +57,98 @@ def evidence_text(text: Column) -> Column:
     t = F.regexp_replace(t, r"([\\`*])", r"\\$1")
     t = F.regexp_replace(t, r"(!?)\[([^\]\r\n]*)\]\(", r"$1\\[$2\\](")
     return F.regexp_replace(t, r"(?<![\p{L}\p{N}_])_(?=\S)|(?<=\S)_(?![\p{L}\p{N}_])", r"\\_")
+
+
+# ---- nested data ----
+
+#: Names whose values never leave, whatever they hold, and names whose texts are cut.
+SECRET_KEYS = ("api_key", "apikey", "authorization", "llm_api_key", "password", "secret", "token")
+TRACE_KEYS = ("provider_traceback", "stack_trace", "traceback")
+PROMPT_KEYS = ("raw_prompt", "prompt_text", "system_prompt", "llm_prompt")
+CUT_KEYS = ("description", "message", "quote")
+
+
+def _marker(key: str) -> str | None:
+    name = key.casefold()
+    return TRACE_MARK if name in TRACE_KEYS else MARK if name in (*PROMPT_KEYS, *SECRET_KEYS) else None
+
+
+def _variant(value: Column, key: str) -> Column:
+    """A value of unknown shape: a text is redacted, a number stays, anything that has names inside goes."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    held = F.when(kind == "STRING", _text(text, key)).when(kind.rlike("OBJECT|ARRAY"), F.lit(MARK))
+    return F.when(held.isNotNull(), held.cast("variant")).otherwise(value)
+
+
+def _text(value: Column, key: str) -> Column:
+    return public_text(value) if key.casefold() in CUT_KEYS else redact_text(value)
+
+
+def redact_value(value: Column, kind: T.DataType, key: str = "") -> Column:
+    """``value`` without secrets at any depth: the transform follows its type. A struct's field of a secret name becomes a marker, whatever its type was.
+
+    A map's entries of secret names become the marker if the map holds texts, else null.
+    """
+    if isinstance(kind, T.StringType):
+        return _text(value, key)
+    if isinstance(kind, T.StructType):
+        fields = [(F.lit(mark) if (mark := _marker(f.name)) else redact_value(value[f.name], f.dataType, f.name)).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redact_value(x, kind.elementType, key))
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        name, texts = F.lower, isinstance(kind.valueType, T.StringType)
+
+        def entry(k: Column, v: Column) -> Column:
+            plain = redact_value(v, kind.valueType)
+            if texts:
+                plain = F.when(name(k).isin(*CUT_KEYS), public_text(v)).otherwise(plain)
+            gone = (lambda mark: F.lit(mark)) if texts else (lambda mark: F.lit(None).cast(kind.valueType))
+            return F.when(name(k).isin(*TRACE_KEYS), gone(TRACE_MARK)).when(name(k).isin(*PROMPT_KEYS, *SECRET_KEYS), gone(MARK)).otherwise(plain)
+
+        return F.transform_values(value, entry)
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _k, v: redact_value(v, kind.valueType, key))
+    return _variant(value, key) if isinstance(kind, T.VariantType) else value
+
+
+def redact_frame(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every column but ``keep``, by its name and type."""
+    named = [(f.name, F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    return df.select(*[(c if n in keep else F.lit(mark) if (mark := _marker(n)) else redact_value(c, t, n)).alias(n) for n, c, t in named])
+
+
+def json_shape(df: DataFrame, column: str) -> T.DataType:
+    """The type that all JSON texts of a column fit, found in one aggregate; where they differ in kind it is VARIANT, null throughout is text."""
+    told = df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("s")).first()["s"] or "VOID"
+    ddl = re.sub(r"\bOBJECT<", "STRUCT<", told)
+    return T.StructType.fromDDL("value " + re.sub(r"\bVOID\b", "STRING", ddl))["value"].dataType
+
+
+def redact_json(df: DataFrame, column: str, shape: T.DataType | None = None) -> DataFrame:
+    """``df`` with ``column``, JSON texts without a declared schema, redacted by key at any depth. What is no JSON is redacted as text.
+
+    Members that are null are left out, names come in order.
+    """
+    kind = shape or json_shape(df, column)
+    text = F.col(column)
+    parsed = F.try_parse_json(text)
+    value = F.try_variant_get(parsed, "$", kind.simpleString())
+    clean = redact_value(value, kind)
+    shown = F.to_json(clean) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType, T.VariantType)) else clean.cast("string")
+    return df.withColumn(column, F.when(parsed.isNull(), redact_text(text)).when(value.isNull() & text.isNotNull(), F.lit("null") if isinstance(kind, T.StructType) else shown).otherwise(shown))
+
+
+#: Patterns and length of the log's contract.
+LOG_KEY = r"\bsk-[A-Za-z0-9_-]{8,}\b"
+LOG_ASSIGN = r"""(?i)(\b(?:api[_-]?key|token|secret|password|authorization)\b\s*[:=]\s*)(['"]?)[^\s,;'")}\]]+(['"]?)"""
+LOG_BODY = r"""(?is)(\b(?:document_text|thesis_text|vkr_text)\b\s*[:=]\s*)(['"]).*?\2"""
+LOG_CHARS = 500
+
+
+def log_text(text: Column, limit: int | None = LOG_CHARS) -> Column:
+    """For logs: no credentials, no text of a document, and a bounded length."""
+    t = F.regexp_replace(F.regexp_replace(text, LOG_KEY, MARK), BEARER, f"Bearer {MARK}")
+    t = F.regexp_replace(F.regexp_replace(t, LOG_ASSIGN, "$1" + MARK), LOG_BODY, "$1" + MARK)
+    return t if limit is None else F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit("...[TRUNCATED]"))).otherwise(t)

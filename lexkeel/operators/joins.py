@@ -48,32 +48,34 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: s
     return both.where("__side = 1").select(*lc, f"asof_{value}")
 
 
-def contains_any(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", shingle: int = 24, probe: int = 1) -> DataFrame:
+def contains_any(texts: DataFrame, needles: DataFrame, text: str = "text", needle: str = "needle", shingle: int = 24) -> DataFrame:
     """Pairs of a text and a needle that it holds.
 
     Instead of trying all pairs, a needle is looked up by characters that a text which holds it must offer, and hits are
     verified by the exact test. The characters are, as the needle allows: ``shingle`` from its first word start behind a
-    character of its own, or half as many from there (texts offer both at each word start, and that one is a
+    character of its own, or half as many from there (texts offer these at each word start, and that one is a
     word start in any text); or its first ``shingle`` (texts offer these wherever no word starts within half as many,
     so at most positions of unspaced scripts and at few of others). Needles that are too short for all of
     these are shorter than two shingles: for each of their few lengths texts offer what stands at every position.
 
-    Only hashes of texts and the characters offered are exploded and joined; the texts themselves join once, to what is left.
+    Texts offer only what some needle asks for, and offers meet the needles before anything is shuffled where these are few; a text costs at most a row for each
+    of its characters and each length of short needles, of which there are fewer than ``2 * shingle``. The texts themselves join once, to what is left.
     """
     word, other, half = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]", shingle // 2
+    own = needles.select(F.col(needle).alias("__n")).where("__n IS NOT NULL AND __n <> ''").distinct()
+    whole, part, first = _inner(shingle, word, other), _inner(half, word, other), F.when(F.length("__n") >= shingle, F.substring("__n", 1, shingle))
+    keys = own.withColumn("__p", F.coalesce(whole, part, first, "__n"))
+    way = F.when(whole.isNotNull(), "whole").when(part.isNotNull(), "part").when(first.isNotNull(), "first").otherwise(F.length("__n").cast("string"))
+    asked = {r[0] for r in own.select(way.alias("way")).distinct().collect()}  # three ways and the lengths of short needles
     spaced = F.concat(F.lit(" "), F.col(text))
-    at_words = F.regexp_extract_all(spaced, F.lit(rf"(?s)(?<!{word})(?=({word}.{{{half - 1},{shingle - 1}}}))"), F.lit(1))
-    inside = F.regexp_extract_all(spaced, F.lit(rf"(?s)(?!.{{0,{half - 1}}}?{other}{word})(?=(.{{{shingle}}}))"), F.lit(1))
-    own = needles.select(F.col(needle).alias("__n")).where("__n IS NOT NULL").distinct()
-    keys = own.withColumn("__p", F.coalesce(_inner(shingle, word, other), _inner(half, word, other), F.when(F.length("__n") >= shingle, F.substring("__n", 1, shingle))))
-    short = keys.where("__p IS NULL AND __n <> ''").select("__n")
-    lengths = sorted(r[0] for r in short.select(F.length("__n")).distinct().collect())  # at most as many as a short needle has characters
-    every = [F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
-    offered = F.array_distinct(F.concat(at_words, F.transform(at_words, lambda g: F.substring(g, 1, half)), inside, *every))
-    posts = texts.select(F.xxhash64(text).alias("__h"), F.explode(offered).alias("__p")).distinct()
-    pairs = posts.join(keys.where("__p IS NOT NULL").unionByName(short.withColumn("__p", F.col("__n"))), "__p").select("__h", "__n").distinct()
-    hashed = texts.withColumn("__h", F.xxhash64(text))
-    found = hashed.join(pairs, "__h").where(F.contains(F.col(text), F.col("__n"))).drop("__h")
+    at_words = lambda n: F.regexp_extract_all(spaced, F.lit(rf"(?s)(?<!{word})(?=({word}.{{{n - 1}}}))"), F.lit(1))
+    offers = {"whole": lambda: at_words(shingle), "part": lambda: at_words(half), "first": lambda: F.regexp_extract_all(spaced, F.lit(rf"(?s)(?!.{{0,{half - 1}}}?{other}{word})(?=(.{{{shingle}}}))"), F.lit(1))}
+    every = [offers[k]() for k in offers if k in asked] + [F.regexp_extract_all(F.col(text), F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(int(w) for w in asked if w.isdigit())]
+    found = texts.limit(0).withColumn("__n", F.lit(""))
+    if every:
+        posts = texts.select(F.xxhash64(text).alias("__h"), F.explode(F.array_distinct(F.concat(*every))).alias("__p"))
+        pairs = posts.join(keys, "__p").select("__h", "__n").distinct()
+        found = texts.withColumn("__h", F.xxhash64(text)).join(pairs, "__h").where(F.contains(F.col(text), F.col("__n"))).drop("__h")
     # The empty needle is in every text.
     found = found.unionByName(texts.where(F.col(text).isNotNull()).withColumn("__n", F.lit("")))
     return found.join(needles, F.col("__n") == F.col(needle)).select(*texts.columns, *needles.columns)

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import locator
 from ..functions.text import nfc
-from ..operators.windows import head_tail
 
 #: Rule, roles, elements, chunks of a section, chunks in all, flags (a: all roles needed, h: headings only).
 SPECS = """
@@ -90,11 +89,17 @@ def plan(spark: SparkSession, sections: DataFrame, chunks: DataFrame, hidden: Da
     found = chosen.groupBy("doc_id", "rule_id").agg(F.collect_set("role").alias("roles_found"))
     shown = chunks if hidden is None else chunks.join(hidden, ["doc_id", "chunk_id"], "left_anti")
     pieces = chosen.select("doc_id", "rule_id", "section_id", "per_section", "in_all").distinct().join(shown, ["doc_id", "section_id"])
-    cut = None
-    for limit in sorted({int(line.split()[3]) for line in SPECS.strip().splitlines()}):
-        some = pieces.where(F.col("per_section") == limit).withColumn("k", F.concat_ws("\x00", "doc_id", "rule_id", "section_id"))
-        part = head_tail(some, "k", ["char_start", "chunk_id"], limit).drop("k")
-        cut = part if cut is None else cut.unionByName(part)
+    if "title" in sections.columns:
+        # Rules over headings see the title of each section and none of its text.
+        heads = chosen.where("headings_only").select("doc_id", "rule_id", "section_id", "per_section", "in_all").distinct().join(sections.select("doc_id", "section_id", "title", "char_start"), ["doc_id", "section_id"])
+        heads = heads.select("doc_id", "rule_id", "section_id", "per_section", "in_all", F.concat(F.lit("heading:"), F.substring(F.sha2("title", 256), 1, 16)).alias("chunk_id"), F.col("title").alias("text"), "char_start")
+        bodies = chosen.where("NOT headings_only")
+        pieces = bodies.select("doc_id", "rule_id", "section_id", "per_section", "in_all").distinct().join(shown, ["doc_id", "section_id"]).select(*heads.columns).unionByName(heads)
+    own = Window.partitionBy("doc_id", "rule_id", "section_id")
+    pieces = pieces.withColumns({"__n": F.count(F.lit(1)).over(own), "__at": F.row_number().over(own.orderBy("char_start", "chunk_id"))})
+    # The first and the last of each section, the first one more of an odd number.
+    head, tail = F.ceil(F.col("per_section") / 2), F.floor(F.col("per_section") / 2)
+    cut = pieces.where((F.col("__n") <= F.col("per_section")) | (F.col("__at") <= head) | (F.col("__at") > F.col("__n") - tail)).drop("__n", "__at")
     order = Window.partitionBy("doc_id", "rule_id").orderBy("char_start", "chunk_id")
     cut = cut.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.col("in_all"))
     packed = cut.groupBy("doc_id", "rule_id").agg(F.array_sort(F.collect_list(F.struct("n", "chunk_id", "text", "char_start"))).alias("chunks"))
@@ -139,7 +144,7 @@ def prompts(planned: DataFrame, wire_ids: int = 8) -> DataFrame:
     return planned.where("state = 'ready'").select("doc_id", "rule_id", "elements", body.alias("prompt")).withColumn("prompt_hash", F.sha2("prompt", 256))
 
 
-ANSWER = "status string, confidence double, elements array<string>, evidence array<struct<chunk_id:string,quote:string>>, diagnostic string, attempts int, provider string"
+ANSWER = "status string, confidence double, elements array<string>, evidence array<struct<chunk_id:string,quote:string>>, diagnostic string, attempts int, provider string, tokens_in long, tokens_out long"
 
 
 def ask(prompted: DataFrame, providers: list[tuple[str, Callable[[str], dict]]], attempts: int = 2, tasks: int | None = None) -> DataFrame:
@@ -151,7 +156,7 @@ def ask(prompted: DataFrame, providers: list[tuple[str, Callable[[str], dict]]],
     import pandas as pd
 
     def one(prompt: str, elements: list[str]) -> dict:
-        last, n = {"diagnostic": "no_provider", "provider": None}, 0
+        last, n, spent = {"diagnostic": "no_provider", "provider": None}, 0, {"tokens_in": 0, "tokens_out": 0}
         for name, call in providers:
             for _ in range(attempts):
                 n += 1
@@ -160,11 +165,13 @@ def ask(prompted: DataFrame, providers: list[tuple[str, Callable[[str], dict]]],
                 except Exception:
                     last = {"diagnostic": "provider_unavailable", "provider": name}
                     break
+                for k in spent:  # also what an invalid answer has cost
+                    spent[k] += int(got.get(k) or 0)
                 named = [elements[int(e)] if str(e).isdigit() and int(e) < len(elements) else e for e in got.get("elements") or []]
                 if got.get("status") in ("pass", "warn", "info", "unverifiable", "not_applicable") and sorted(named) == sorted(elements):
-                    return {"status": got["status"], "confidence": got.get("confidence"), "elements": named, "evidence": got.get("evidence") or [], "diagnostic": None, "attempts": n, "provider": name}
+                    return {"status": got["status"], "confidence": got.get("confidence"), "elements": named, "evidence": got.get("evidence") or [], "diagnostic": None, "attempts": n, "provider": name} | spent
                 last = {"diagnostic": "invalid_answer", "provider": name}
-        return {"status": None, "confidence": None, "elements": None, "evidence": None, "attempts": n} | last
+        return {"status": None, "confidence": None, "elements": None, "evidence": None, "attempts": n} | last | spent
 
     def run(batches):
         for pdf in batches:
@@ -177,6 +184,13 @@ def ask(prompted: DataFrame, providers: list[tuple[str, Callable[[str], dict]]],
     return source.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key) + ", " + ANSWER)
 
 
+def observed(answers: DataFrame, name: str = "advisory") -> tuple[DataFrame, Observation]:
+    """``answers`` and what a pass over them will have told: questions, attempts, tokens each way and how many had no answer, without another job."""
+    seen = Observation(name)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return answers.observe(seen, F.count(F.lit(1)).alias("questions"), total("attempts"), total("tokens_in"), total("tokens_out"), F.count_if(F.col("diagnostic").isNotNull()).alias("unanswered")), seen
+
+
 def disabled(planned: DataFrame) -> DataFrame:
     """The provider that answers nothing."""
     return planned.where("state = 'ready'").select("doc_id", "rule_id", F.lit("provider_disabled").alias("diagnostic"))

@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import digests
+from ..functions import redaction as R
 from ..functions.identity import locator, source_hash
 from ..sources import origins, policy
 from ..sources import pdf_bundle as B
 from ..sources import projects as P
+from ..sources.corpus import table
 from ..stages import StageStore
 from ..storage import folder, keep
 from ..streaming.ingest import content_key
@@ -177,3 +180,27 @@ def printed_rules(spark, sf_dir):
     there = B.sections(spark, keep(B.documents(spans, pages), "pdf-documents"), spans, pages)
     facts = H.facts(spark, projects, B.with_pages(P.sections(spark, projects), there), files, pages=pages)
     return H.evaluate(spark, facts, H.B.Settings(only=("STR-03", "STR-04"))).select("doc_id", "rule_id", "status", "page")
+
+
+@register("redact_events", """
+SELECT event_id, '{"deep":{"Password":"[REDACTED]","note":"' || event_type || ' [REDACTED]"},"items":[{"message":"' || rtrim(substr(repeat(event_type || ' ', 60), 1, 240)) || '… [TRUNCATED]","n":' || (event_id % 7) || '}]'
+  || coalesce(',"k":' || regexp_extract(props, '"k": ?([0-9]+)', 1), '') || '}' AS props FROM events""")
+def redact_events(spark, sf_dir):
+    """Each event's own properties and others with secrets inside, as JSON that no schema declares, redacted by key."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    more = F.concat(
+        F.lit('{"items": [{"n": '), (F.col("event_id") % 7).cast("string"), F.lit(', "message": "'), F.repeat(F.concat("event_type", F.lit(" ")), F.lit(60)), F.lit('"}], "deep": {"note": "'), F.col("event_type"), F.lit(" a"), F.col("event_id").cast("string"),
+        F.lit('@b.example", "Password": "p'), F.col("event_id").cast("string"), F.lit('"}'), F.coalesce(F.concat(F.lit(", "), F.expr("substring(props, 2)")), F.lit("}")),
+    )
+    return R.redact_json(e.select("event_id", more.alias("props")), "props")
+
+
+@register("bundle_digests", """
+WITH f AS (SELECT lang || '/' || source AS bundle, sha256(coalesce(text, '')) AS sha, 'Dir/' || CASE WHEN doc_id % 3 = 0 THEN 'E' || chr(769) WHEN doc_id % 3 = 1 THEN 'e' ELSE 'Z' END || doc_id || '.tex' AS path FROM documents)
+SELECT bundle, count(*) AS n_files, sha256(string_agg(path || chr(1) || sha || chr(1), '' ORDER BY encode(lower(nfc_normalize(path))), encode(path))) AS digest FROM f GROUP BY 1""")
+def bundle_digests(spark, sf_dir):
+    """Documents as files of bundles: digests over paths in their stable order, from rows that come in another one and in decomposed letters."""
+    i = F.col("doc_id")
+    letter = F.when(i % 3 == 0, f"E{ACCENT}").when(i % 3 == 1, "e").otherwise("Z")
+    files = docs(spark, sf_dir).select(F.concat("lang", F.lit("/"), "source").alias("bundle"), F.concat(F.lit("Dir/"), letter, i.cast("string"), F.lit(".tex")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return digests.path_digests(files.repartition(7, "path"), "bundle", mark="\x01").select("bundle", "n_files", "digest")

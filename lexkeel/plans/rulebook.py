@@ -169,6 +169,15 @@ def fill(text: str, values: dict[str, Any], approved: set[str]) -> str:
     return re.sub(PLACEHOLDER, put, text)
 
 
+def check_placeholders(texts: list[str], values: dict[str, Any]) -> None:
+    """Every ``{name}`` of the texts must have a value, and every value a text that uses it."""
+    used = {m for t in texts for m in re.findall(PLACEHOLDER, t)}
+    if unknown := sorted(used - set(values)):
+        raise RulebookError(f"unknown placeholders: {', '.join(unknown)}")
+    if unused := sorted(set(values) - used):
+        raise RulebookError(f"values that no text uses: {', '.join(unused)}")
+
+
 def warnings(settings: Settings, version: str, approved: set[str], suggested: str | None = None) -> list[tuple[str, str]]:
     """Codes and messages: parameters of a draft rulebook that nobody approved, and a profile other than the suggested one (which never changes it)."""
     out = [("APPROVAL_REQUIRED", f"draft parameter {p} is not approved") for p in PARAMETERS if "draft" in version.casefold() and p not in approved]

@@ -499,13 +499,15 @@ def title_hits(spark: SparkSession, facts_: DataFrame) -> DataFrame:
     return named.drop("titles").join(rows, "doc_id", "left").withColumn("title_hits", F.coalesce("title_hits", F.array().cast("array<array<int>>")))
 
 
-def evaluate(spark: SparkSession, facts_: DataFrame, settings: B.Settings = B.Settings(), more: dict[str, Column] | None = None) -> DataFrame:
+def evaluate(spark: SparkSession, facts_: DataFrame, settings: B.Settings = B.Settings(), more: dict[str, Column] | None = None, rules: list[Rule] | None = None, extra: list[dict[str, str]] | None = None, reasons: dict[str, str] | None = None, listed: bool = True) -> DataFrame:
     """Findings of all enabled formal rules; a rule without an implementation is unverifiable.
 
-    ``more`` maps further rules (the typographic ones) to columns of outcomes that ``facts_`` holds.
+    ``more`` maps further rules (the typographic ones) to columns of outcomes that ``facts_`` holds. A ``registry`` gives its own ``rules``, those that
+    the rulebook doesn't list (``extra``: id, formal_layer, severity), with or without those that it lists, and the ``reasons`` why some have no implementation.
     """
-    book = [r.asDict() for r in B.effective(B.rulebook(spark), settings).where("enabled").where(B.is_formal(F.col("capabilities"))).select("id", "formal_layer", "severity").collect()]
-    known = {r.id: r for r in RULES}
+    book = [r.asDict() for r in B.effective(B.rulebook(spark), settings).where("enabled").where(B.is_formal(F.col("capabilities"))).select("id", "formal_layer", "severity").collect()] if listed else []
+    book += extra or []
+    known = {r.id: r for r in (RULES if rules is None else rules)}
     rows = []
     for r in book:
         if r["id"] in known:
@@ -513,7 +515,7 @@ def evaluate(spark: SparkSession, facts_: DataFrame, settings: B.Settings = B.Se
         elif more and r["id"] in more:
             got = more[r["id"]]
         else:
-            got = one("unverifiable", "no implementation")
+            got = one("unverifiable", (reasons or {}).get(r["id"], "no implementation"))
         rows.append(_tag(got, r["id"], r["formal_layer"], r["severity"]))
     if "page_start" not in facts_.select("secs").schema["secs"].dataType.elementType.names:
         facts_ = facts_.withColumn("secs", F.transform("secs", lambda s: s.withField("page_start", F.lit(None).cast("int")).withField("page_end", F.lit(None).cast("int"))))
