@@ -533,24 +533,37 @@ RULE_VALUES = ", ".join("({}, '{}', '{}', '{}', {})".format(n, i, layer, s, f"'{
 RULES_SQL = f"r AS (SELECT * FROM (VALUES {RULE_VALUES}) v(rubric_index, id, layer, severity, severity_final))"
 
 
-@register("effective_rules", f"WITH {RULES_SQL} SELECT id, coalesce(severity_final, severity) AS severity, substring(id, 1, 3) NOT IN ('ARC', 'ALG', 'IMP') AS enabled, CASE layer WHEN 'script+llm' THEN 'script' ELSE layer END AS formal_layer, (contains(layer, 'class') OR contains(layer, 'script')) AS formal FROM r")
+PROFILES = ["software", "research", "organizational"]
+#: Every document has a profile by its id, and every second one is held against final severities.
+PROFILED = f"""{RULES_SQL}, d AS (SELECT doc_id, ['software', 'research', 'organizational'][doc_id % 3 + 1] AS profile, doc_id % 2 = 0 AS final FROM documents),
+e AS (SELECT doc_id, profile, id, CASE WHEN final THEN coalesce(severity_final, severity) ELSE severity END AS severity, NOT contains(CASE profile WHEN 'software' THEN '' WHEN 'research' THEN 'ARC,ALG,IMP' ELSE 'ARC,ALG,IMP,MTH' END, substring(id, 1, 3)) AS enabled,
+  CASE layer WHEN 'script+llm' THEN 'script' ELSE layer END AS formal_layer, (contains(layer, 'class') OR contains(layer, 'script')) AS formal FROM d, r)"""
+
+
+def profiled_rules(spark, sf_dir):
+    """The rules as they hold for each document."""
+    each = None
+    for profile in PROFILES:
+        for final in (True, False):
+            one = B.effective(B.rulebook(spark), B.Settings(profile=profile, final=final)).select(F.lit(profile).alias("profile"), F.lit(final).alias("final"), "id", "severity", "enabled", "formal_layer", B.is_formal(F.col("capabilities")).alias("formal"))
+            each = one if each is None else each.unionByName(one)
+    chosen = docs(spark, sf_dir).select("doc_id", F.get(F.array(*map(F.lit, PROFILES)), (F.col("doc_id") % 3).cast("int")).alias("profile"), (F.col("doc_id") % 2 == 0).alias("final"))
+    return chosen.join(F.broadcast(each), ["profile", "final"]).drop("final")
+
+
+@register("effective_rules", f"WITH {PROFILED} SELECT doc_id, id, severity, enabled, formal_layer, formal FROM e")
 def effective_rules(spark, sf_dir):
-    rules = B.effective(B.rulebook(spark), B.Settings(profile="research", final=True))
-    return rules.select("id", "severity", "enabled", "formal_layer", B.is_formal(F.col("capabilities")).alias("formal"))
+    return profiled_rules(spark, sf_dir).drop("profile")
 
 
-@register("profile_rules", f"WITH {RULES_SQL} SELECT p.profile, count(*) AS n FROM r, (VALUES ('software', ''), ('research', 'ARC,ALG,IMP'), ('organizational', 'ARC,ALG,IMP,MTH')) p(profile, off) WHERE NOT contains(off, substring(id, 1, 3)) GROUP BY p.profile")
+@register("profile_rules", f"WITH {PROFILED} SELECT doc_id, profile, count(*) FILTER (enabled) AS n FROM e GROUP BY doc_id, profile")
 def profile_rules(spark, sf_dir):
-    out = None
-    for profile in B.DISABLED:
-        one = B.effective(B.rulebook(spark), B.Settings(profile=profile)).where("enabled").agg(F.count(F.lit(1)).alias("n")).select(F.lit(profile).alias("profile"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return profiled_rules(spark, sf_dir).groupBy("doc_id", "profile").agg(F.count_if("enabled").alias("n"))
 
 
-@register("severity_counts", f"WITH {RULES_SQL} SELECT severity, count(*) AS n FROM r GROUP BY severity")
+@register("severity_counts", f"WITH {PROFILED} SELECT doc_id, severity, count(*) AS n FROM e WHERE enabled GROUP BY doc_id, severity")
 def severity_counts(spark, sf_dir):
-    return B.rulebook(spark).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    return profiled_rules(spark, sf_dir).where("enabled").groupBy("doc_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("semantic_rates", """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import locator, source_hash
 from ..operators.windows import chunks
-from ..sources import dependencies, policy
+from ..sources import dependencies, pdf_bundle, policy
 from ..sources import projects as P
 from ..storage import keep
 from . import advisory, gate, page_roles, report, thesis, typography
@@ -42,13 +42,18 @@ def section_chunks(projects: DataFrame, sections: DataFrame, budget: int = 800)
     return out.withColumn("locator", locator(F.col("digest"), F.col("char_start"), F.col("char_end"))).drop("base")
 
 
-def run(spark: SparkSession, root: str, settings: Settings = Settings(), spans: DataFrame | None = None, pages: DataFrame | None = None, objects: DataFrame | None = None, logs: DataFrame | None = None, answers: DataFrame | None = None) -> Run:
+def run(spark: SparkSession, root: str, settings: Settings = Settings(), spans: DataFrame | None = None, pages: DataFrame | None = None, objects: DataFrame | None = None, logs: DataFrame | None = None, answers: DataFrame | None = None, outline: DataFrame | None = None) -> Run:
     """Checks every project under ``root``. PDF tables, build logs and advisory answers are optional: what they would tell is unverifiable without them."""
     settings.check()
     files = P.read_files(spark, root)
     projects = keep(P.projects(files), "projects")
     sections = keep(P.sections(spark, projects), "sections")
     protected, forbidden = policy.policies(files)
+    if spans is not None and pages is not None and {"place", "block", "line"} <= set(spans.columns):
+        # Spans that tell their lines and blocks are a document of their own, whose sections have pages.
+        placed = keep(pdf_bundle.with_offsets(spans), "spans")
+        printed = pdf_bundle.sections(spark, keep(pdf_bundle.documents(placed, pages, outline), "pdf-documents"), placed, pages)
+        sections = keep(pdf_bundle.with_pages(sections, printed), "sections-with-pages")
     typo = figures = None
     if spans is not None and pages is not None:
         hidden = page_roles.excluded(page_roles.roles(spans, pages))

@@ -150,3 +150,62 @@ def test_printed_pages_meet_source_sections_in_order(spark):
     source = spark.createDataFrame([("d", "a", "intro", 0), ("d", "b", "part", 10), ("d", "c", "part", 20), ("d", "e", "gone", 30)], cols)
     there = spark.createDataFrame([("d", "x", "intro", 5, 1, 2), ("d", "y", "part", 50, 3, 3), ("d", "z", "part", 90, 4, 6), ("d", "w", "", 0, 9, 9)], cols + ", page_start int, page_end int")
     assert {r["section_id"]: (r["page_start"], r["page_end"]) for r in B.with_pages(source, there).collect()} == {"a": (1, 2), "b": (3, 3), "c": (4, 6), "e": (None, None)}
+
+
+# ---- from a decoder's objects to tables ----
+
+
+class Rect:
+    width, height = 600.0, 800.0
+
+
+class Leaf:
+    """A page as the decoder shows it: two columns below a title, an image, two drawings, one of them a hairline."""
+
+    rect, rotation = Rect(), 0
+
+    def get_text(self, _kind):
+        def block(x0, y0, x1, *lines):
+            return {"lines": [{"spans": [{"text": t, "font": "F", "size": 20.0 if t.startswith("Ti") else 10.0, "flags": 0, "bbox": (x0, y0 + 10 * i, x1, y0 + 10 * i + 9)} for t in line]} for i, line in enumerate(lines)]}
+
+        return {"blocks": [block(320, 100, 560, ["right \ufb01rst"]), block(40, 100, 280, ["left ", "one"], ["left two"]), block(40, 20, 560, ["Titel\xa0hier"]), {"image": b""}]}
+
+    def get_image_info(self, hashes):
+        return [{"bbox": (1, 2, 30, 40), "digest": b"\x01\xff"}, {"bbox": (1, 2, 30, 40)}, {"bbox": (5, 5, 5, 9)}]
+
+    def get_drawings(self):
+        return [{"rect": (0, 0, 100, 50), "items": [1, 2]}, {"rect": (0, 0, 100, 1), "items": []}]
+
+
+class Book(list):
+    def get_toc(self, simple):
+        return [[1, "Titel hier", 1], [2, "x"]]
+
+
+def test_decoded_pages_become_documents(spark):
+    from lexkeel.sources import pdf
+
+    rows = pdf.rows_of("d", Book([Leaf(), Leaf()]))
+    t = pdf.tables(spark.createDataFrame(rows, pdf.DECODED))
+    spans = B.with_offsets(t["spans"])
+    docs = B.documents(spans, t["pages"], t["outline"]).first()
+    page = "Titel hier\n\nleft one\nleft two\n\nright first"
+    assert docs["text"] == f"{page}\n\n{page}"
+    assert [(h["title"], h["char_start"], h["origin"]) for h in docs["headings"]] == [("Titel hier", 0, "pdf_outline")]
+    objects = sorted((r["page"], r["kind"], r["signature"]) for r in t["objects"].collect())
+    assert objects == [(n, k, s) for n in (1, 2) for k, s in (("image", "01ff"), ("image", "29.0x38.0"), ("vector", "100.0x50.0:2"))]
+    assert t["pages"].count() == 2
+
+
+def test_a_run_with_spans_knows_pages(spark, tmp_path):
+    from lexkeel.plans.run import run
+
+    from .test_faults import put
+
+    put(tmp_path, "d", {"main.tex": "\\begin{document}\n\\section{Введение}\nтекст\n\\section{Заключение}\nтекст\n\\end{document}"})
+    rows = [span("d", 0, "Введение", size=20.0), *[span("d", i, "слова", page=1 + i // 3) for i in range(1, 12)], span("d", 12, "Заключение", page=5, size=20.0), *[span("d", i, "слова", page=5) for i in range(13, 16)]]
+    spans = spark.createDataFrame(rows, SPAN).withColumn("span_idx", F.col("place"))
+    got = run(spark, f"file://{tmp_path}", spans=spans, pages=pages(spark, *[("d", n) for n in range(1, 6)]))
+    found = {r["rule_id"]: (r["status"], r["message"], r["page"]) for r in got.findings.where("rule_id IN ('STR-03', 'STR-04')").collect()}
+    assert found == {"STR-03": ("pass", "subsections fill a page", None), "STR-04": ("warn", "Введение: 4 pages", 1)}
+    assert {r["title"]: (r["page_start"], r["page_end"]) for r in got.sections.collect()} == {"Введение": (1, 4), "Заключение": (5, 5)}
