@@ -106,7 +106,9 @@ def hits(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int =
     w = F.col("w")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("n_words", "long"), ("places", PLACES))]
     own = F.struct(F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("gram"), F.lit("").alias("run"), F.size(w).cast("long").alias("n_words"), places(w).alias("places"))
-    each = F.transform(runs(w, template_grams(templates, k), k), lambda r: F.struct(r["pos"].alias("pos"), r["gram"].alias("gram"), r["run"].alias("run"), *none))
+    # Only runs whose hash a template has become rows.
+    known_runs = F.filter(runs(w, template_grams(templates, k), k), lambda r: r["run"].isNotNull())
+    each = F.transform(known_runs, lambda r: F.struct(r["pos"].alias("pos"), r["gram"].alias("gram"), r["run"].alias("run"), *none))
     rolled = keyed.select("doc_id", "text_hash", F.explode(F.concat(F.array(own), each)).alias("x")).select("doc_id", "text_hash", "x.*")
     known = template_positions(docs.sparkSession, templates, k)
     return rolled.join(F.broadcast(known), ["gram", "run"], "left").where((F.col("pos") < 0) | F.col("template").isNotNull()).drop("gram", "run")
