@@ -125,12 +125,23 @@ def tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(nodes, "chat-stream"), turns
 
 
+#: Copies of a node that many conversations share.
+SALTS = 32
+
+
 def attention(nodes: DataFrame, turns: DataFrame) -> DataFrame:
     """Each conversation's intervals of the stream, from its root on: ``conv_id``, ``intervals`` (``start``, ``end``, ``loss_start``, ``loss_end``) and ``texts`` in the same order.
 
-    The last interval is the leaf's, those before it are its ancestors', which is all that the leaf attends to.
+    The last interval is the leaf's, those before it are its ancestors', which is all that the leaf attends to. Nodes that over a thousandth of all turns share
+    (fewer than a thousand) stand ``SALTS`` times, and their conversations are dealt over those.
     """
-    found = turns.join(nodes, "node").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "start", "end", "position", "loss_start", "loss_end", "text"))).alias("n"))
+    total = turns.count()
+    crowded = turns.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 1000 > total).select("node", F.lit(True).alias("crowded"))
+    crowded = F.broadcast(materialize(crowded, "chat-crowded"))
+    dealt = turns.join(crowded, "node", "left").withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("conv_id"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("crowded")
+    copies = F.when(F.col("crowded"), F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).otherwise(F.array(F.lit(0).cast("long")))
+    told = nodes.join(crowded, "node", "left").withColumn("salt", F.explode(copies)).drop("crowded")
+    found = dealt.join(told, ["node", "salt"]).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "start", "end", "position", "loss_start", "loss_end", "text"))).alias("n"))
     return found.select("conv_id", F.transform("n", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["position"].alias("position"), x["loss_start"].alias("loss_start"), x["loss_end"].alias("loss_end"))).alias("intervals"), F.transform("n", lambda x: x["text"]).alias("texts"))
 
 

@@ -14,6 +14,10 @@ where ``simhash.links`` links their fingerprints. No pair is lost before it is v
 4. A set's bitmap has 512 bits, each the parity of the number of its shingles that hash there. Bits in which two bitmaps differ are at most
    the shingles that are in one of the sets only, which at 4/5 are at most ``(n + m) / 9``; the join itself discards the other pairs.
 5. Survivors of a bound by all their posts are verified by the intersection of the whole sets.
+
+Edge cases: null, empty and blank texts have no shingle and meet by their fingerprint, which is zero; fewer than five words are one shingle; very long texts
+are read whole; repeated rows and texts are one node, and their component's id is the smallest non-null ``doc_id``; rows without an id are never dropped; an empty
+table gives an empty result; other columns are carried by ``one_of_each`` and seen by nothing.
 """
 
 from __future__ import annotations
