@@ -123,9 +123,71 @@ def rule_rows() -> list[tuple[int, str, str, str, str | None]]:
     return [(n, *(line.split() + [None])[:4]) for n, line in enumerate(RULES.strip().splitlines())]
 
 
-def rulebook(spark: SparkSession) -> DataFrame:
-    """``rubric_index``, ``id``, ``layer``, ``severity``, ``severity_final``, ``capabilities``, ``formal_layer``."""
-    rows = spark.createDataFrame(rule_rows(), "rubric_index int, id string, layer string, severity string, severity_final string")
+#: What a rulebook file must hold, and the ranges of its parameters.
+META = {"sources": {"M1", "M2", "DEP"}, "layers": {"class", "script", "llm", "vision"}, "severity": {"error", "warn", "info"}}
+RANGES = {"font_size_pt": (int, 8, 72), "defense_year": (int, 2000, 2100), "recent_sources_share": (float, 0, 1), "geometry_tolerance_pt": (float, 0, 1)}
+NUMBERINGS = ("сквозная", "по разделам")
+RULE_COUNT, RULE_ID = 64, r"[A-Z]{3}-[0-9]{2}"
+
+
+@dataclass(frozen=True)
+class Rulebook:
+    """A rulebook file: version, parameters, and a row (``id``, ``layer``, ``severity``, ``severity_final``, ``src``, ``rule``, ``check``) for each rule in order."""
+
+    version: str
+    parameters: dict[str, Any]
+    rules: list[dict[str, Any]]
+
+
+def load(text: str) -> Rulebook:
+    """A rulebook from YAML, strictly: no key twice or unknown, no rule twice, layers and severities in their words, parameters in their ranges."""
+    from ..sources.policy import parse
+
+    def mapping(value: Any, at: str, keys: set[str], optional: set[str] = frozenset()) -> dict:
+        if not isinstance(value, dict):
+            raise RulebookError(f"{at} is a mapping")
+        if wrong := sorted(map(str, set(value) ^ (keys | (optional & set(value))))):
+            raise RulebookError(f"{at}: missing or unknown {', '.join(wrong)}")
+        return value
+
+    def words(value: Any, at: str) -> str:
+        if not isinstance(value, str) or not value.strip():
+            raise RulebookError(f"{at} is a text that isn't empty")
+        return value.strip()
+
+    book = mapping(parse(text), "a rulebook", {"meta", "rules"})
+    meta = mapping(book["meta"], "meta", {"version", "sources", "layers", "severity", "policy", "params_to_approve"})
+    for name, keys in META.items():
+        for k, v in mapping(meta[name], f"meta.{name}", keys).items():
+            words(v, f"meta.{name}.{k}")
+    told = mapping(meta["params_to_approve"], "meta.params_to_approve", set(PARAMETERS))
+    for name, (kind, low, high) in RANGES.items():
+        v = told[name]
+        if isinstance(v, bool) or not isinstance(v, int if kind is int else (int, float)) or not low <= v <= high:
+            raise RulebookError(f"meta.params_to_approve.{name} lies between {low} and {high}")
+    if told["fig_numbering"] not in NUMBERINGS:
+        raise RulebookError(f"meta.params_to_approve.fig_numbering is one of {', '.join(NUMBERINGS)}")
+    if not isinstance(book["rules"], list) or len(book["rules"]) != RULE_COUNT:
+        raise RulebookError(f"a rulebook has {RULE_COUNT} rules")
+    rules, seen = [], set()
+    for i, raw in enumerate(book["rules"]):
+        at = f"rules[{i}]"
+        r = {k: words(v, f"{at}.{k}") for k, v in mapping(raw, at, {"id", "src", "rule", "layer", "check", "severity"}, {"severity_final"}).items() if v is not None or k != "severity_final"}
+        if not re.fullmatch(RULE_ID, r["id"]) or r["id"] in seen:
+            raise RulebookError(f"{at}.id is no id, or stands twice: {r['id']}")
+        if r["layer"] not in CAPABILITIES:
+            raise RulebookError(f"{at}.layer is not a layer: {r['layer']}")
+        if bad := [r[k] for k in ("severity", "severity_final") if r.get(k, "info") not in META["severity"]]:
+            raise RulebookError(f"{at} has no such severity: {bad[0]}")
+        seen.add(r["id"])
+        rules.append({"severity_final": None} | r)
+    return Rulebook(words(meta["version"], "meta.version"), told, rules)
+
+
+def rulebook(spark: SparkSession, book: Rulebook | None = None) -> DataFrame:
+    """``rubric_index``, ``id``, ``layer``, ``severity``, ``severity_final``, ``capabilities``, ``formal_layer`` of the library's rules or of a file's."""
+    given = rule_rows() if book is None else [(n, r["id"], r["layer"], r["severity"], r["severity_final"]) for n, r in enumerate(book.rules)]
+    rows = spark.createDataFrame(given, "rubric_index int, id string, layer string, severity string, severity_final string")
     return rows.withColumn("capabilities", capabilities(F.col("layer"))).withColumn("formal_layer", formal_layer(F.col("capabilities")))
 
 

@@ -78,12 +78,19 @@ def _rows_of(policy: Any) -> list[tuple[str, int, str, str]]:
     """What a policy holds; anything out of shape is an error. A pattern must compile, here and in Java's engine."""
     if not isinstance(policy, dict):
         raise RulebookError("a policy is a mapping")
-    out = []
+    allowed = policy.get("allowed_renewcommand") or []
+    if not isinstance(allowed, list) or not all(isinstance(x, str) and x.strip() for x in allowed):
+        raise RulebookError("allowed_renewcommand is a list of names")
+    out, paths = [], [x.get("path") for x in policy.get("class_files") or [] if isinstance(x, dict)]
+    if len(set(map(str, paths))) != len(paths):
+        raise RulebookError("class_files names a path twice")
     for what, part, names in (("file", "class_files", ("path", "sha256")), ("pattern", "forbidden_preamble", ("pattern", "message"))):
         for i, x in enumerate(policy.get(part) or []):
             if not isinstance(x, dict) or not all(isinstance(x.get(n), str) for n in names):
                 raise RulebookError(f"{part} needs {' and '.join(names)} in each entry")
             row = [x[n] for n in names]
+            if what == "file" and not re.fullmatch("[0-9a-f]{64}", x["sha256"]):
+                raise RulebookError(f"not a SHA-256: {x['sha256'][:80]}")
             if what == "pattern":
                 try:
                     re.compile(x["pattern"])
