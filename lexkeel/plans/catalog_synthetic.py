@@ -18,7 +18,7 @@ from . import gate as G
 from . import rulebook as B
 from . import thesis as H
 from . import typography as Y
-from .catalog import docs, register
+from .catalog import docs, gate_sql, register
 
 
 def projects(spark, sf_dir) -> DataFrame:
@@ -167,7 +167,18 @@ def console_summary(spark, sf_dir):
     return report.summary(report.reports(G.order(D.findings(docs(spark, sf_dir)), B.rulebook(spark))))
 
 
-@register("report_json")
+REPORT_SQL = f"""
+WITH {D.FINDINGS_SQL},
+s AS (SELECT *, 'sha256:' || sha256('{{"evidence":[],"layer":"' || layer || '","message":"' || message || '","rule_id":"' || rule_id || '","severity":"' || severity || '","status":"' || status || '"}}') AS fp,
+  CASE status WHEN 'fail' THEN 'Fix the violation and run the formal gate again.' WHEN 'unverifiable' THEN 'Provide the sources that the rule needs.' ELSE 'Look at the remark before the final check.' END AS advice FROM f),
+l AS (SELECT doc_id, string_agg('{{"rule_id":"' || rule_id || '","layer":"' || layer || '","severity":"' || severity || '","status":"' || status || '","message":"' || message || '","fingerprint":"' || fp || '","recommendation":"' || advice || '"}}', ',' ORDER BY fp) AS items
+  FROM s WHERE status NOT IN ('pass', 'skipped', 'not_applicable') GROUP BY doc_id)
+SELECT g.doc_id, '{{"schema_version":"1.2","header":{{"gate_status":"' || gate_status || '","gate_mode":"strict","degraded":' || (blocking_unverifiable > 0) || ',"approvals_required":' || (approvals_required > 0) || ',"generated_at":"2025-01-01T00:00:00Z"}},"exit_code":' || exit_code
+  || ',"counts":{{"formal_errors":' || formal_errors || ',"warnings":' || warnings || ',"llm_advisory":' || llm_advisory || ',"unverifiable":' || unverifiable || ',"blocking_unverifiable":' || blocking_unverifiable || ',"approvals_required":' || approvals_required || '}},"findings":[' || coalesce(items, '') || ']}}' AS json
+FROM ({gate_sql("strict")}) g LEFT JOIN l ON l.doc_id = g.doc_id"""
+
+
+@register("report_json", REPORT_SQL)
 def report_json(spark, sf_dir):
     """Published reports as JSON; a fixed stamp keeps them equal from run to run."""
     stamp = F.lit("2025-01-01 00:00:00").cast("timestamp")
