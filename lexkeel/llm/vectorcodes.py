@@ -54,7 +54,8 @@ def integers(vectors: np.ndarray, p: Codes) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // len(column))
 
 
 def _cuts(dims: int, p: Codes) -> list[slice]:
@@ -85,7 +86,7 @@ def first_codebooks(rows: DataFrame, p: Codes = Codes()) -> list[np.ndarray]:
     if last is None:
         return []
     start = rows.where(F.col("vec_id") <= last).groupBy("vec_id").agg(F.min("vector").alias("v")).orderBy("vec_id").collect()
-    x = integers(np.array([r["v"] for r in start], np.float64), p).astype(np.int64)
+    x = integers(np.array([r["v"] for r in start], np.float64).reshape(len(start), len(start[0]["v"])), p).astype(np.int64)
     return [x[:, cut] for cut in _cuts(x.shape[1], p)]
 
 
@@ -109,7 +110,7 @@ def nearest(part: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _parts(blobs: list[bytes], n: int) -> list[np.ndarray]:
-    return [np.frombuffer(b, "<i4").reshape(-1, n) for b in blobs]
+    return [np.frombuffer(b, "<i4").reshape(len(b) // (4 * n), n) for b in blobs]
 
 
 def train(made: DataFrame, books: list[np.ndarray], p: Codes = Codes()) -> list[np.ndarray]:

@@ -180,6 +180,10 @@ def test_codes_of_odd_tables(spark, write):
     schema = "vec_id long, embedding array<double>, label int"
     assert vectorcodes.op12(spark, write(embeddings=spark.createDataFrame([], schema))).collect() == []
     assert vectorcodes.op12(spark, write(embeddings=spark.createDataFrame([(1, None, 1)], schema))).collect() == []
+    # Vectors shorter than there are parts, and without any component.
+    for v in ([0.5, 1.0], []):
+        got = vectorcodes.op12(spark, write(embeddings=spark.createDataFrame([(1, v, 1), (2, v, None)], schema))).collect()
+        assert [(r["vec_id"], r["code"], r["error"], r["label_error"]) for r in sorted(got)] == [(1, "00000000", 0, 0), (2, "00000000", 0, 0)]
     # Another length than most takes no part; huge components count as the bound.
     rows = [(1, [1.0, 2.0, 3.0, 4.0], 1), (2, [1.0] * 4, 1), (3, [1.0] * 8, 1), (4, [1e300, -1e300, 0.0, 0.0], None)]
     got = {r["vec_id"]: r for r in vectorcodes.op12(spark, write(embeddings=spark.createDataFrame(rows, schema))).collect()}
