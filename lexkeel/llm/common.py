@@ -10,6 +10,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import broadcast_by_rows
+
 #: Words of the quality, SimHash and PII operators: anything between ASCII white space.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -49,6 +51,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     all earlier steps; unlike ``checkpoint()`` the rows are computed once only.
     """
     spark = df.sparkSession
+    broadcast_by_rows(spark)
     path = new_path(spark, name)
     writer = df.write
     if partition_by:

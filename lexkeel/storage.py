@@ -18,6 +18,19 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def broadcast_by_rows(spark: SparkSession) -> None:
+    """Leaves it to adaptive execution which joins broadcast a side: it knows the size of the rows that were shuffled.
+
+    Before a run Spark goes by the size of files, which compress repetitive rows a hundredfold, and takes it that a Python step returns no more than
+    it reads; tables of any size would pass through the driver. Sides that a query itself marks by ``broadcast`` stay so.
+    """
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    if (limit := spark.conf.get(static)) not in ("-1", "-1b"):
+        if spark.conf.get(adaptive, None) is None:
+            spark.conf.set(adaptive, limit)
+        spark.conf.set(static, "-1")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to a new ``folder`` and read back."""
     spark, path = df.sparkSession, folder(df.sparkSession, name)
