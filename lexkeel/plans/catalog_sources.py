@@ -54,7 +54,7 @@ def source_origins(spark, sf_dir):
     heads = heads.select("doc_id", F.col("h.title").alias("words"), locator(F.col("digest"), F.col("h.char_start"), F.col("h.char_start") + F.length("h.title")).alias("locator"))
     shown = projects.select("doc_id", F.lit("Q").alias("rule_id"), F.lit("whole").alias("chunk_id"), "text", F.lit(0).alias("char_start"), digest.alias("digest"))
     quotes = d.select(name.alias("doc_id"), F.lit("Q").alias("rule_id"), F.lit(0).alias("pos"), F.lit("whole").alias("chunk_id"), F.concat(F.lit("étude "), name, F.lit(" steht")).alias("quote"))
-    found = heads.unionByName(advisory.verify(quotes, shown).select("doc_id", F.col("quote").alias("words"), "locator"))
+    found = keep(heads.unionByName(advisory.verify(quotes, shown).select("doc_id", F.col("quote").alias("words"), "locator")), "locators")
     return origins.resolve(found, projects, files).join(found, ["doc_id", "locator"]).select("doc_id", "words", "path", "char_start", "char_end", "byte_start", "byte_end", "quote")
 
 

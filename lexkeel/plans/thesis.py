@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import latex as L
 from ..functions.text import SPACES, WORD, first_year, latin_ratio, plain_title, utf8, word_count
 from ..operators.aggregates import first_few
+from ..sources import projects as P
+from ..storage import keep
 from . import rulebook as B
 
 OUTCOME = "array<struct<status:string,severity:string,message:string,path:string,page:int,locator:string>>"
@@ -487,7 +489,8 @@ def title_hits(spark: SparkSession, facts_: DataFrame) -> DataFrame:
     from difflib import SequenceMatcher
 
     titles = F.transform(F.filter("secs", lambda s: (s["kind"] != "document") & (s["level"] <= 2)), lambda s: canonical(s["title"]))
-    named = facts_.withColumn("titles", titles)
+    # Facts are read three times and their rules cost far more than their bytes tell.
+    named = keep(P.spread(facts_.withColumn("titles", titles)), "facts")
     distinct = named.select(F.explode("titles").alias("t")).distinct()
 
     def compare(batches):

@@ -7,15 +7,18 @@ Arrow function since includes nest. What rules need is kept as one row a project
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bibtex, latex, texscan
 from ..functions.text import plain_title, utf8
 
 PROJECT = "doc_id string, main string, expanded string, preamble string, body string, visible string, structural string, text string, headings array<struct<title:string,level:int,char_start:int>>, read array<string>, bib_paths array<string>, bib_declared boolean, error string, source_map array<struct<at:int,n:int,source:int,offset:int,m:int>>"
+#: Projects that a task holds read at a time.
+PROJECTS_AT_ONCE = 64
 BIB = "doc_id string, pos int, key string, entry_type string, fields map<string,string>"
 
 
@@ -41,28 +44,47 @@ def faults(files: DataFrame) -> DataFrame:
 
 def main_files(files: DataFrame) -> DataFrame:
     """The main source of each project: ``main.tex`` at the top, else the only nested one, else ``main.pdf``; ``problem`` says why there is none."""
-    top = F.count_if(F.col("path") == "main.tex")
+    main = _main()
+    return files.groupBy("doc_id").agg(*_seen()).select("doc_id", main.alias("main"), F.when(main.isNull(), F.when(F.size("n") > 1, "ambiguous").otherwise("not found")).alias("problem"))
+
+
+def _seen() -> list[Column]:
+    """What tells the main source of a project, over its files."""
     nested = F.collect_set(F.when(F.col("path").rlike(r"/main\.tex$"), F.col("path")))
-    pdf = F.count_if(F.col("path") == "main.pdf")
-    out = files.groupBy("doc_id").agg(top.alias("t"), nested.alias("n"), pdf.alias("p"))
-    main = F.when(F.col("t") > 0, "main.tex").when(F.size("n") == 1, F.get("n", F.lit(0))).when((F.size("n") == 0) & (F.col("p") > 0), "main.pdf")
-    return out.select("doc_id", main.alias("main"), F.when(main.isNull(), F.when(F.size("n") > 1, "ambiguous").otherwise("not found")).alias("problem"))
+    return [F.count_if(F.col("path") == "main.tex").alias("t"), nested.alias("n"), F.count_if(F.col("path") == "main.pdf").alias("p")]
+
+
+def _main() -> Column:
+    return F.when(F.col("t") > 0, "main.tex").when(F.size("n") == 1, F.get("n", F.lit(0))).when((F.size("n") == 0) & (F.col("p") > 0), "main.pdf")
 
 
 def projects(files: DataFrame) -> DataFrame:
-    """A row of ``PROJECT`` for each project with a LaTeX main source."""
-    texts = files.where(F.col("path").rlike(r"(?i)\.(tex|bib)$")).select("doc_id", "path", "content")
-    mains = main_files(files).where(F.col("main").endswith(".tex")).select("doc_id", "main")
+    """A row of ``PROJECT`` for each project with a LaTeX main source.
 
-    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
-        doc, main = rows["doc_id"].iloc[0], rows["main"].iloc[0]
-        try:
-            out = _assembled(dict(zip(rows["path"], rows["content"], strict=True)), main)
-        except Exception as e:  # whatever a project holds, the others get their results
-            out = _EMPTY | {"error": f"the project cannot be read: {type(e).__name__}"}
-        return pd.DataFrame([{"doc_id": doc, "main": main} | out])
+    Files are grouped once. Reading them takes far longer than their bytes tell, so projects are dealt to a fixed number of tasks: adaptive
+    execution would put whatever compresses well into a few.
+    """
+    text = F.when(F.col("path").rlike(r"(?i)\.(tex|bib)$"), F.struct("path", "content"))
+    whole = spread(files).groupBy("doc_id").agg(*_seen(), F.collect_list(text).alias("files")).select("doc_id", _main().alias("main"), "files").where(F.col("main").endswith(".tex"))
 
-    return texts.join(mains, "doc_id").groupBy("doc_id").applyInPandas(assemble, PROJECT)
+    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), PROJECTS_AT_ONCE):
+                rows = []
+                for doc, main, held in pdf.iloc[at : at + PROJECTS_AT_ONCE].itertuples(index=False):
+                    try:
+                        out = _assembled({f["path"]: f["content"] for f in held}, main)
+                    except Exception as e:  # whatever a project holds, the others get their results
+                        out = _EMPTY | {"error": f"the project cannot be read: {type(e).__name__}"}
+                    rows.append({"doc_id": doc, "main": main} | out)
+                yield pd.DataFrame(rows)
+
+    return whole.mapInPandas(assemble, PROJECT)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt by document to as many tasks as the session shuffles to, however few bytes they have."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def bib_entries(files: DataFrame, projects: DataFrame) -> DataFrame:
