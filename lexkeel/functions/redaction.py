@@ -25,17 +25,34 @@ PROMPT = r"""(?is)(\b(?:raw_prompt|prompt_text|system_prompt|llm_prompt)\b\s*[:=
 TRACEBACK = r"(?ims)\s*^Traceback \(most recent call last\):.*\z"
 
 
+#: What a text must hold, in lower case, for a pattern to match anywhere in it; far cheaper to look for than the pattern.
+NEEDS = {ASSIGN: ("key", "token", "secret", "password", "authorization"), API_KEY: ("sk-", "aqvn"), BEARER: ("bearer",), EMAIL: ("@",), WINDOWS_PATH: (":/", "\\"), POSIX_PATH: ("/",), HOME_PATH: ("~/",), PROMPT: ("prompt",), TRACEBACK: ("traceback",)}
+
+
+def may_match(lower: Column, pattern: str) -> Column:
+    """Whether a text, given in lower case, holds what ``pattern`` needs."""
+    out = F.lit(False)
+    for part in NEEDS[pattern]:
+        out = out | F.contains(lower, F.lit(part))
+    return out
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def redact_text(text: Column) -> Column:
-    t = F.regexp_replace(text, CONTROL, "")
-    t = F.regexp_replace(t, ASSIGN, "$1" + MARK)
-    t = F.regexp_replace(t, API_KEY, MARK)
-    t = F.regexp_replace(t, BEARER, f"Bearer {MARK}")
-    t = F.regexp_replace(t, EMAIL, MARK)
-    t = F.regexp_replace(t, WINDOWS_PATH, PATH_MARK)
-    t = F.regexp_replace(t, POSIX_PATH, PATH_MARK)
-    t = F.regexp_replace(t, HOME_PATH, PATH_MARK)
-    t = F.regexp_replace(t, PROMPT, "$1" + MARK)
-    return F.regexp_replace(F.regexp_replace(t, TRACEBACK, f" {TRACE_MARK}"), rf"^\s+(?=\{TRACE_MARK[:-1]}\]$)", "")
+    """Replacements bring in none of ``NEEDS``, so what the text holds at first decides for all of them."""
+    steps = [(ASSIGN, "$1" + MARK), (API_KEY, MARK), (BEARER, f"Bearer {MARK}"), (EMAIL, MARK), (WINDOWS_PATH, PATH_MARK), (POSIX_PATH, PATH_MARK), (HOME_PATH, PATH_MARK), (PROMPT, "$1" + MARK), (TRACEBACK, f" {TRACE_MARK}")]
+
+    def gated(t: Column, low: Column, left: list) -> Column:
+        if not left:
+            return F.when(may_match(low, TRACEBACK), F.regexp_replace(t, rf"^\s+(?=\{TRACE_MARK[:-1]}\]$)", "")).otherwise(t)
+        (pattern, shown), *rest = left
+        return _let(F.when(may_match(low, pattern), F.regexp_replace(t, pattern, shown)).otherwise(t), lambda u: gated(u, low, rest))
+
+    return _let(F.regexp_replace(text, CONTROL, ""), lambda t: _let(F.lower(t), lambda low: gated(t, low, steps)))
 
 
 def truncate_public(text: Column) -> Column:
@@ -45,7 +62,7 @@ def truncate_public(text: Column) -> Column:
 
 
 def public_text(text: Column) -> Column:
-    return truncate_public(redact_text(text))
+    return _let(redact_text(text), truncate_public)
 
 
 def evidence_text(text: Column) -> Column:
@@ -132,12 +149,12 @@ def redact_json(df: DataFrame, column: str, shape: T.DataType | None = None) ->
     Members that are null are left out, names come in order.
     """
     kind = shape or json_shape(df, column)
-    text = F.col(column)
-    parsed = F.try_parse_json(text)
-    value = F.try_variant_get(parsed, "$", kind.simpleString())
+    text, parsed, value = F.col(column), F.col("__parsed"), F.col("__value")
+    # Columns of their own, or every field would parse the text again.
+    read = df.withColumn("__parsed", F.try_parse_json(text)).withColumn("__value", F.try_variant_get("__parsed", "$", kind.simpleString()))
     clean = redact_value(value, kind)
     shown = F.to_json(clean) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType, T.VariantType)) else clean.cast("string")
-    return df.withColumn(column, F.when(parsed.isNull(), redact_text(text)).when(value.isNull() & text.isNotNull(), F.lit("null") if isinstance(kind, T.StructType) else shown).otherwise(shown))
+    return read.withColumn(column, F.when(parsed.isNull(), redact_text(text)).when(value.isNull() & text.isNotNull(), F.lit("null") if isinstance(kind, T.StructType) else shown).otherwise(shown)).drop("__parsed", "__value")
 
 
 #: Patterns and length of the log's contract.

@@ -46,7 +46,7 @@ def compound_word_count(text: Column) -> Column:
 
 
 def keep_only(text: Column, negated_class: str) -> Column:
-    return F.length(F.regexp_replace(text, negated_class, ""))
+    return F.length(F.regexp_replace(text, negated_class + "+", ""))
 
 
 def latin_ratio(text: Column) -> Column:

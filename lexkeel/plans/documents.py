@@ -17,9 +17,10 @@ TOKEN_BUDGET, MIN_WORDS, MIN_LATIN = 2_000, 50, 0.6
 
 def measure(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
+    holds = lambda pattern: R.may_match(F.lower(text), pattern) & F.regexp_like(text, F.lit(pattern))
     return docs.select(
         "doc_id", T.estimate_tokens(text).alias("tokens"), T.word_count(text).alias("words"), T.latin_ratio(text).alias("latin"),
-        (F.regexp_like(text, F.lit(R.EMAIL)) | F.regexp_like(text, F.lit(R.ASSIGN))).alias("private"), F.length(text).alias("chars"), "n_chars",
+        (holds(R.EMAIL) | holds(R.ASSIGN)).alias("private"), F.length(text).alias("chars"), "n_chars",
     )
 
 
