@@ -132,11 +132,7 @@ def quote_spans(text: Column, limit: int = 4) -> Column:
 
     The text is cut where a fragment must end; inside, words are taken ``limit`` at a time.
     """
-    pieces = F.split(text, r"(?<=[.!?;])\s+|\s*\n\s*")
-
-    def cut(piece: Column) -> Column:
-        words = F.regexp_extract_all(piece, F.lit(r"\S+\s*"), F.lit(0))
-        n = F.greatest(F.ceil(F.size(words) / limit).cast("int"), F.lit(1))
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.rtrim(F.array_join(F.slice(words, i * limit + 1, F.lit(limit)), "")))
-
+    pieces = F.split(text, r"(?=\s)(?:(?<=[.!?;])\s+|\s*\n\s*)")
+    words = F.lit(rf"(?:\S++\s*+){{1,{limit}}}")
+    cut = lambda piece: F.transform(F.regexp_extract_all(piece, words, F.lit(0)), F.rtrim)
     return F.filter(F.flatten(F.transform(pieces, cut)), lambda s: s != "")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import windows as W
 from ..schemas import SECTIONS
+from ..storage import keep
 from . import advisory, report
 from . import documents as D
 from . import gate as G
@@ -105,6 +106,7 @@ def spans(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     font = F.when(i % 3 == 0, "ABCDEF+TimesNewRomanPSMT").when(i % 3 == 1, "Times-Roman").otherwise("Arial")
     box = F.struct(F.lit(90.0).alias("x0"), y.alias("y0"), x1.alias("x1"), (y + 14.0).alias("y1"))
     s = lines.select(i.cast("string").alias("doc_id"), F.col("line_no").cast("int").alias("span_idx"), F.col("line").alias("text"), "page", F.col("char_start"), (F.col("char_start") + F.length("line")).alias("char_end"), font.alias("font"), F.when(i % 4 == 0, 12.0).otherwise(14.0).alias("font_size"), F.lit(0).alias("flags"), box.alias("bbox"))
+    s = keep(s, "spans")  # read many times by what follows
     p = s.select("doc_id", F.col("page").alias("number")).distinct().select("doc_id", "number", F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), F.lit(0).alias("rotation"))
     return s, p
 
@@ -224,7 +226,7 @@ def advisory_disabled(spark, sf_dir):
 SELECT doc_id, len(list_filter(string_split_regex(text, '\n'), lambda l: trim(l) <> ''))::INT AS lines, sha256(array_to_string(regexp_extract_all(text, '\S+'), ' ')) AS words FROM documents""")
 def quote_spans(spark, sf_dir):
     """Fragments hold every word once and in order; there are at least as many as filled lines."""
-    spans = W.quote_spans(F.col("text"))
-    words = F.regexp_extract_all(F.array_join(spans, " "), F.lit(r"\S+"), F.lit(0))
     filled = F.size(F.filter(F.split("text", "\n", -1), lambda s: F.trim(s) != ""))
-    return docs(spark, sf_dir).select("doc_id", F.when(F.size(spans) >= filled, filled).alias("lines"), F.sha2(F.array_join(words, " "), 256).alias("words"))
+    cut = docs(spark, sf_dir).select("doc_id", W.quote_spans(F.col("text")).alias("spans"), filled.alias("filled"))
+    words = F.trim(F.regexp_replace(F.array_join("spans", " "), r"\s+", " "))
+    return cut.select("doc_id", F.when(F.size("spans") >= F.col("filled"), F.col("filled")).alias("lines"), F.sha2(words, 256).alias("words"))
