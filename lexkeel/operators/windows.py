@@ -134,5 +134,5 @@ def quote_spans(text: Column, limit: int = 4) -> Column:
     """
     pieces = F.split(text, r"(?=\s)(?:(?<=[.!?;])\s+|\s*\n\s*)")
     words = F.lit(rf"(?:\S++\s*+){{1,{limit}}}")
-    cut = lambda piece: F.transform(F.regexp_extract_all(piece, words, F.lit(0)), F.rtrim)
+    cut = lambda piece: F.transform(F.regexp_extract_all(piece, words, F.lit(0)), lambda w: F.rtrim(w))
     return F.filter(F.flatten(F.transform(pieces, cut)), lambda s: s != "")
