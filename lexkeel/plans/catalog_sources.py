@@ -116,20 +116,21 @@ PIECE, LINES, CHAPTER = 80, 20, 35
 def printed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Spans and pages of every document as a PDF: its whole text in pieces, a running header a page, a heading every so many pieces."""
     d = docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    d = d.withColumn("n", F.greatest(F.ceil(F.length("t") / PIECE), F.lit(1)).cast("int"))
-    k = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    rows = d.select("doc_id", "t", k.alias("k"))
+    # All pieces by one pass over a text; a piece by its number would be counted from the start each time.
+    pieces = F.when(F.col("t") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    rows = d.select("doc_id", F.posexplode(pieces).alias("k", "piece"))
     item = lambda kind, text, size, y: F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(size).cast("double").alias("font_size"), y.cast("double").alias("y"))
     at = F.col("k") % LINES * 30
     made = F.array(
         F.when(F.col("k") % LINES == 0, item(0, F.lit("Kopfzeile"), 20.0, F.lit(20.0))), F.when(F.col("k") % CHAPTER == 0, item(1, F.concat(F.lit("Kapitel "), (F.floor(F.col("k") / CHAPTER) + 1).cast("string")), 18.0, at + 100)),
-        item(2, F.expr(f"substring(t, {PIECE} * k + 1, {PIECE})"), 10.0, at + 110),
+        item(2, F.col("piece"), 10.0, at + 110),
     )
     spans = rows.select("doc_id", (F.floor(F.col("k") / LINES) + 1).cast("int").alias("page"), (F.col("k") * 3).alias("k3"), F.explode(F.array_compact(made)).alias("i"))
     place = F.col("k3") + F.col("i.kind")
     box = F.struct(F.lit(50.0).alias("x0"), F.col("i.y").alias("y0"), F.lit(500.0).alias("x1"), (F.col("i.y") + 8).alias("y1"))
     spans = spans.select("doc_id", "page", place.alias("place"), place.alias("block"), F.lit(0).alias("line"), "i.text", F.lit("Times").alias("font"), "i.font_size", F.lit(0).alias("flags"), box.alias("bbox"))
-    pages = rows.where(F.col("k") % LINES == 0).select("doc_id", (F.floor(F.col("k") / LINES) + 1).cast("int").alias("number"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(0).alias("rotation"))
+    count = F.greatest(F.ceil(F.length("t") / (PIECE * LINES)), F.lit(1)).cast("int")
+    pages = d.select("doc_id", count.alias("count")).select("doc_id", F.explode(F.sequence(F.lit(1), "count")).alias("number"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(0).alias("rotation"))
     return spans, pages
 
 

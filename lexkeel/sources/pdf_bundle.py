@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, WORD
+from ..storage import keep
 from . import projects as P
 
 #: How much larger than the body a heading is, its longest title, the margins of running headers and how little these move.
 LARGER, LONGEST, TOP, BOTTOM, DRIFT = 1.18, 160, 0.15, 0.85, 0.03
 #: Which headings win where several sources tell of one: smaller is better.
 ORIGINS = {"latex_ast": 0, "pdf_outline": 1, "pdf_heading": 2}
+#: Two characters or more are left without the spaces around them.
+NAMED = rf"[^{SPACES[1:-2]}][{SPACES[1:-2]}]*+[^{SPACES[1:-2]}]"
 HEADING = "struct<char_start:int,priority:int,level:int,title:string,page:int,origin:string>"
 
 
@@ -42,18 +45,25 @@ def _stripped(text: Column) -> Column:
 def font_headings(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """``doc_id`` and a heading (``HEADING`` as columns) for each span that is larger than the document's median, running headers left out.
 
-    A running header stands at the top or bottom of a page, on two pages or more, at nearly the same height.
+    A running header stands at the top or bottom of a page, on two pages or more, at nearly the same height. Spans are shuffled once: medians come from
+    counts of sizes, and only spans whose first word may be that of a large span of their document are read in full.
     """
-    named = spans.withColumn("title", _stripped(F.col("text"))).where(F.length("title") >= 2)
-    sized = named.join(pages.select("doc_id", F.col("number").alias("page"), "height"), ["doc_id", "page"])
-    sized = sized.withColumns({"y": F.col("bbox.y0") / F.col("height"), "norm": F.array_join(F.regexp_extract_all(F.lower("title"), F.lit(WORD), F.lit(0)), " ")})
-    body = sized.groupBy("doc_id").agg(F.median(F.when(F.col("font_size") > 0, F.col("font_size"))).alias("median"))
-    large = sized.join(body, "doc_id").where((F.col("font_size") >= F.col("median") * LARGER) & (F.length("title") <= LONGEST))
+    named = spans.where(F.col("text").rlike(NAMED))
+    there = pages.select("doc_id", F.col("number").alias("page"), "height")
+    sizes = named.groupBy("doc_id", "page", "font_size").agg(F.count(F.lit(1)).alias("n")).join(there, ["doc_id", "page"])
+    body = sizes.groupBy("doc_id").agg(F.percentile(F.when(F.col("font_size") > 0, F.col("font_size")), 0.5, F.col("n")).alias("median"))
+    first = named.select("doc_id", "page", "char_start", "font_size", F.col("bbox.y0").alias("y0"), "text", F.regexp_extract(F.lower("text"), WORD, 0).alias("word"))
+    bit = first.withColumn("bit", F.expr("shiftleft(1L, pmod(hash(word), 64))")).drop("word").join(body, "doc_id")
+    judged = bit.withColumn("large", F.coalesce(F.col("font_size") >= F.col("median") * LARGER, F.lit(False))).drop("median", "font_size")
+    judged = judged.withColumn("bits", F.bit_or(F.when(F.col("large"), F.col("bit"))).over(Window.partitionBy("doc_id"))).where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    sized = judged.drop("bits", "bit").join(there, ["doc_id", "page"]).withColumn("title", _stripped(F.col("text")))
+    sized = sized.withColumns({"y": F.col("y0") / F.col("height"), "norm": F.array_join(F.regexp_extract_all(F.lower("title"), F.lit(WORD), F.lit(0)), " ")}).drop("text")
     # Repetitions count smaller spans as well.
-    again = sized.where("norm <> ''").groupBy("doc_id", "norm").agg(F.count_distinct("page").alias("n_pages"), (F.max("y") - F.min("y")).alias("drift"))
-    judged = large.join(again, ["doc_id", "norm"], "left")
-    header = (F.col("n_pages") >= 2) & ((F.col("y") < TOP) | (F.col("y") > BOTTOM)) & (F.col("drift") < DRIFT)
-    return judged.where(~F.coalesce(header, F.lit(False))).select("doc_id", "char_start", F.lit(ORIGINS["pdf_heading"]).alias("priority"), F.lit(1).alias("level"), "title", "page", F.lit("pdf_heading").alias("origin"))
+    same = Window.partitionBy("doc_id", "norm")
+    again = sized.withColumns({"paged": F.min("page").over(same) != F.max("page").over(same), "drift": F.max("y").over(same) - F.min("y").over(same)})
+    header = (F.col("norm") != "") & F.col("paged") & ((F.col("y") < TOP) | (F.col("y") > BOTTOM)) & (F.col("drift") < DRIFT)
+    kept = again.where(F.col("large") & (F.length("title") <= LONGEST) & ~F.coalesce(header, F.lit(False)))
+    return kept.select("doc_id", "char_start", F.lit(ORIGINS["pdf_heading"]).alias("priority"), F.lit(1).alias("level"), "title", "page", F.lit("pdf_heading").alias("origin"))
 
 
 def outline_headings(outline: DataFrame, spans: DataFrame, documents: DataFrame) -> DataFrame:
@@ -97,28 +107,29 @@ def documents(spans: DataFrame, pages: DataFrame, outline: DataFrame | None = No
 def page_ranges(intervals: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
     """``doc_id``, ``key``, ``page_start`` and ``page_end`` of intervals ``[char_start, char_end)``: pages of the spans that share a character with them.
 
-    One union of all starts and ends, sorted once for each document: the first span that ends behind an interval's start and the last that starts
-    before its end tell both pages, as spans follow one another and pages don't fall along the text. Null where no span lies inside.
+    One union of the spans' starts with the intervals' starts and ends, sorted once for each document and read once: the last span that starts before
+    an interval's end tells one page; the last that starts no later than its start, or the next if that has ended by then, the other, as spans follow
+    one another and pages don't fall along the text. Null where no span lies inside.
     """
     none = {c: F.lit(None).cast(intervals.schema[c].dataType).alias(c) for c in key}
-    empty = [F.lit(None).cast("int").alias(c) for c in ("page", "other")]
+    empty = [F.lit(None).cast("int").alias(c) for c in ("page", "until")]
     inside = lambda at, side: intervals.select("doc_id", F.col(at).alias("at"), F.lit(side).alias("side"), *key, *empty)
-    edge = lambda at, other, side: spans.select("doc_id", F.col(at).alias("at"), F.lit(side).alias("side"), *none.values(), "page", F.col(other).alias("other"))
-    # At one place: intervals' ends before spans' starts, and spans' ends before intervals' starts.
-    every = inside("char_end", 0).unionByName(edge("char_start", "char_end", 1)).unionByName(edge("char_end", "char_start", 2)).unionByName(inside("char_start", 3))
-    by = Window.partitionBy("doc_id").orderBy("at", "side", "other", "page")
-    mark = lambda side: F.when(F.col("side") == side, F.struct("page", "other"))
-    before = F.last(mark(1), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(mark(2), ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
-    seen = every.withColumns({"before": before, "after": after}).where(F.col("side").isin(0, 3))
-    both = seen.groupBy("doc_id", *key).agg(F.max(F.when(F.col("side") == 3, F.struct("at", "after"))).alias("a"), F.max(F.when(F.col("side") == 0, F.struct("at", "before"))).alias("b"))
-    shares = (F.col("a.after.other") < F.col("b.at")) & (F.col("b.before.other") > F.col("a.at"))
-    return both.select("doc_id", *key, F.when(shares, F.col("a.after.page")).alias("page_start"), F.when(shares, F.col("b.before.page")).alias("page_end"))
+    # At one place: intervals' ends before spans, and spans before intervals' starts.
+    placed = spans.select("doc_id", F.col("char_start").alias("at"), F.lit(1).alias("side"), *none.values(), "page", F.col("char_end").alias("until"))
+    every = inside("char_end", 0).unionByName(placed).unionByName(inside("char_start", 2)).withColumn("span", F.when(F.col("side") == 1, F.struct("at", "until", "page")))
+    by = Window.partitionBy("doc_id").orderBy("at", "side", "until", "page")
+    # Over a frame that ends with the document each row would start anew; this looks ahead once.
+    after = F.expr("lead(span) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY at, side, until, page)")
+    seen = every.withColumns({"before": F.last("span", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)), "after": after}).where("side <> 1")
+    opened = F.when(F.col("before.until") > F.col("at"), F.col("before")).otherwise(F.col("after"))
+    both = seen.groupBy("doc_id", *key).agg(F.max(F.when(F.col("side") == 2, F.struct("at", opened.alias("span")))).alias("a"), F.max(F.when(F.col("side") == 0, F.struct("at", F.col("before").alias("span")))).alias("b"))
+    shares = (F.col("a.span.at") < F.col("b.at")) & (F.col("b.span.until") > F.col("a.at"))
+    return both.select("doc_id", *key, F.when(shares, F.col("a.span.page")).alias("page_start"), F.when(shares, F.col("b.span.page")).alias("page_end"))
 
 
 def sections(spark: SparkSession, docs: DataFrame, spans: DataFrame, pages: DataFrame) -> DataFrame:
     """Sections of PDFs (``documents``) with ``page_start`` and ``page_end``: pages of their spans, else that of their heading; without headings all pages."""
-    found = P.sections(spark, docs, collapse=False)
+    found = keep(P.sections(spark, docs, collapse=False), "pdf-sections")
     ranged = found.join(page_ranges(found, spans, ["section_id"]), ["doc_id", "section_id"], "left")
     heads = docs.select("doc_id", F.explode("headings").alias("h")).select("doc_id", F.col("h.char_start").alias("char_start"), F.col("h.page").alias("heading_page")).groupBy("doc_id", "char_start").agg(F.min("heading_page").alias("heading_page"))
     ends = pages.groupBy("doc_id").agg(F.min("number").alias("first"), F.max("number").alias("last"))

@@ -176,8 +176,9 @@ def sections(spark: SparkSession, projects: DataFrame, collapse: bool = True) ->
         return F.when((F.size(acc) > 0) & F.coalesce(near, F.lit(False)), acc).otherwise(F.concat(acc, F.array(h)))
 
     kept = F.aggregate("headings", F.slice("headings", 1, 0), keep) if collapse else F.col("headings")
-    heads = projects.where(F.size("headings") > 0).select("doc_id", F.length("text").alias("total"), source_hash(F.col("text")).alias("digest"), F.explode(kept).alias("h"))
-    heads = heads.select("doc_id", "total", "digest", "h.title", "h.level", "h.char_start").withColumn("norm", plain_title(F.col("title")))
+    # Lengths and digests once a text, not once a heading.
+    heads = projects.where(F.size("headings") > 0).select("doc_id", F.length("text").alias("total"), source_hash(F.col("text")).alias("digest"), kept.alias("kept"))
+    heads = heads.select("doc_id", "total", "digest", F.explode("kept").alias("h")).select("doc_id", "total", "digest", "h.title", "h.level", "h.char_start").withColumn("norm", plain_title(F.col("title")))
     kind = kinds(spark, heads)
     base = F.when(F.col("kind") == "appendix", F.concat(F.lit("appendix-"), F.regexp_extract("norm", APPENDIX, 1))).when(F.col("kind") == "other", slug(F.col("title"))).otherwise(F.col("kind"))
     out = heads.join(kind, "norm").withColumn("base", base)
