@@ -1,7 +1,7 @@
 """Advisory rules: what a model is shown, what it may answer, and how its quotes are checked.
 
 A rule's specification is data. Planning is relational: sections by role, chunks of those sections, the first and last of each,
-a total limit. No model is called here: a provider is a function of rows, the ones that ship are ``disabled`` and
+a total limit, picked for each rule from one row a document. No model is called here: a provider is a function of rows, the ones that ship are ``disabled`` and
 ``annotated`` (answers from a table). An answer never fails a rule, and a quote counts only if it stands in a chunk that was shown.
 """
 
@@ -83,32 +83,40 @@ def plan(spark: SparkSession, sections: DataFrame, chunks: DataFrame, hidden: Da
     tagged = sections.withColumn("roles_held", F.array_compact(F.array(*[F.when(has_role(F.col("norm"), F.col("kind"), F.col("level"), r), r) for r in roles])))
     filled = chunks.where(F.trim("text") != "").select("doc_id", "section_id").distinct()
     tagged = tagged.join(filled, ["doc_id", "section_id"], "left_semi").where(F.size("roles_held") > 0)
-    by_role = tagged.select("doc_id", "section_id", F.explode("roles_held").alias("role"))
-    wanted = table.select("*", F.explode("roles").alias("role"))
-    chosen = by_role.join(F.broadcast(wanted), "role")
-    found = chosen.groupBy("doc_id", "rule_id").agg(F.collect_set("role").alias("roles_found"))
-    shown = chunks if hidden is None else chunks.join(hidden, ["doc_id", "chunk_id"], "left_anti")
-    pieces = chosen.select("doc_id", "rule_id", "section_id", "per_section", "in_all").distinct().join(shown, ["doc_id", "section_id"])
+    # A section's roles, once however many rows tell of it.
+    held = tagged.groupBy("doc_id", "section_id").agg(F.array_distinct(F.flatten(F.collect_list("roles_held"))).alias("roles_held"))
+    shown = (chunks if hidden is None else chunks.join(hidden, ["doc_id", "chunk_id"], "left_anti")).select("doc_id", "section_id", "chunk_id", "text", "char_start", F.lit(False).alias("heading"))
+    # Only what some rule can show goes on: the first and the last of each section, the first one more of an odd number.
+    most = max(int(line.split()[3]) for line in SPECS.strip().splitlines())
+    ends = _ends(shown, most).join(held, ["doc_id", "section_id"])
     if "title" in sections.columns:
         # Rules over headings see the title of each section and none of its text.
-        heads = chosen.where("headings_only").select("doc_id", "rule_id", "section_id", "per_section", "in_all").distinct().join(sections.select("doc_id", "section_id", "title", "char_start"), ["doc_id", "section_id"])
-        heads = heads.select("doc_id", "rule_id", "section_id", "per_section", "in_all", F.concat(F.lit("heading:"), F.substring(F.sha2("title", 256), 1, 16)).alias("chunk_id"), F.col("title").alias("text"), "char_start")
-        bodies = chosen.where("NOT headings_only")
-        pieces = bodies.select("doc_id", "rule_id", "section_id", "per_section", "in_all").distinct().join(shown, ["doc_id", "section_id"]).select(*heads.columns).unionByName(heads)
-    own = Window.partitionBy("doc_id", "rule_id", "section_id")
-    pieces = pieces.withColumns({"__n": F.count(F.lit(1)).over(own), "__at": F.row_number().over(own.orderBy("char_start", "chunk_id"))})
-    # The first and the last of each section, the first one more of an odd number.
-    head, tail = F.ceil(F.col("per_section") / 2), F.floor(F.col("per_section") / 2)
-    cut = pieces.where((F.col("__n") <= F.col("per_section")) | (F.col("__at") <= head) | (F.col("__at") > F.col("__n") - tail)).drop("__n", "__at")
-    order = Window.partitionBy("doc_id", "rule_id").orderBy("char_start", "chunk_id")
-    cut = cut.withColumn("n", F.row_number().over(order)).where(F.col("n") <= F.col("in_all"))
-    packed = cut.groupBy("doc_id", "rule_id").agg(F.array_sort(F.collect_list(F.struct("n", "chunk_id", "text", "char_start"))).alias("chunks"))
-    every = sections.select("doc_id").distinct().join(F.broadcast(table.select("rule_id", "roles", "elements", "all_roles")), F.expr("true"))
-    out = every.join(found, ["doc_id", "rule_id"], "left").join(packed, ["doc_id", "rule_id"], "left")
-    missing = F.when(F.col("all_roles"), F.array_sort(F.array_except("roles", F.coalesce("roles_found", F.array().cast("array<string>"))))).otherwise(F.array().cast("array<string>"))
-    out = out.withColumn("missing_roles", missing)
+        heads = sections.select("doc_id", "section_id", F.concat(F.lit("heading:"), F.substring(F.sha2("title", 256), 1, 16)).alias("chunk_id"), F.col("title").alias("text"), "char_start", F.lit(True).alias("heading"))
+        ends = ends.unionByName(_ends(heads, most).join(held, ["doc_id", "section_id"]))
+    piece = F.struct("char_start", "chunk_id", "heading", "at", "back", "roles_held", "text")
+    pieces = ends.groupBy("doc_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    played = held.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("roles_held"))).alias("played"))
+    every = sections.select("doc_id").distinct().join(played, "doc_id", "left").join(pieces, "doc_id", "left")
+    # Each rule picks from a document's pieces in its row: texts are neither joined, sorted nor shuffled for every rule.
+    out = every.join(F.broadcast(table), F.expr("true"))
+    wanted = lambda c: F.arrays_overlap(c["roles_held"], F.col("roles")) & ((c["at"] <= F.ceil(F.col("per_section") / 2)) | (c["back"] <= F.floor(F.col("per_section") / 2)))
+    if "title" in sections.columns:
+        chosen = F.filter("pieces", lambda c: (c["heading"] == F.col("headings_only")) & wanted(c))
+    else:
+        chosen = F.filter("pieces", wanted)
+    packed = F.transform(F.slice(chosen, F.lit(1), F.col("in_all")), lambda c, i: F.struct((i + 1).alias("n"), c["chunk_id"].alias("chunk_id"), c["text"].alias("text"), c["char_start"].alias("char_start")))
+    missing = F.when(F.col("all_roles"), F.array_sort(F.array_except("roles", F.coalesce("played", F.array().cast("array<string>"))))).otherwise(F.array().cast("array<string>"))
+    out = out.select("doc_id", "rule_id", "elements", packed.alias("chunks"), missing.alias("missing_roles"))
     state = F.when(F.coalesce(F.size("chunks"), F.lit(0)) <= 0, "section_missing").when(F.size("missing_roles") > 0, "section_missing").otherwise("ready")
-    return out.select("doc_id", "rule_id", "elements", "chunks", "missing_roles", state.alias("state"))
+    return out.select("doc_id", "rule_id", "elements", F.when(F.size("chunks") > 0, F.col("chunks")).alias("chunks"), "missing_roles", state.alias("state"))
+
+
+def _ends(pieces: DataFrame, limit: int) -> DataFrame:
+    """The first and the last of each section, ``limit`` at most, with their place from the start (``at``) and from the end (``back``)."""
+    own = Window.partitionBy("doc_id", "section_id")
+    at = F.row_number().over(own.orderBy("char_start", "chunk_id"))
+    placed = pieces.withColumns({"at": at, "back": F.count(F.lit(1)).over(own) - at + 1})
+    return placed.where((F.col("at") <= (limit + 1) // 2) | (F.col("back") <= limit // 2))
 
 
 def verify(quotes: DataFrame, shown: DataFrame) -> DataFrame:
@@ -206,12 +214,15 @@ def conclude(planned: DataFrame, answered: DataFrame, digests: DataFrame) -> Dat
 
     No section: not applicable. No answer, a status that isn't allowed, a quote that fails its check or an unacceptable one: unverifiable.
     """
-    shown = planned.select("doc_id", "rule_id", F.explode("chunks").alias("c")).select("doc_id", "rule_id", "c.chunk_id", "c.text", "c.char_start").join(digests, "doc_id")
-    has_answers = "evidence" in answered.columns
-    answered = answered if has_answers else answered.withColumns({"status": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double"), "evidence": F.lit(None).cast("array<struct<chunk_id:string,quote:string>>")})
-    quotes = answered.select("doc_id", "rule_id", F.posexplode("evidence").alias("pos", "e")).select("doc_id", "rule_id", "pos", "e.chunk_id", "e.quote")
-    checked = verify(quotes, shown).groupBy("doc_id", "rule_id").agg(F.bool_and(F.col("error").isNull() & acceptable(F.col("quote"))).alias("sound"), F.array_sort(F.collect_list(F.struct("locator", F.col("quote").alias("description")))).alias("evidence"))
-    out = planned.join(answered.drop("evidence"), ["doc_id", "rule_id"], "left").join(checked, ["doc_id", "rule_id"], "left")
+    if "evidence" in answered.columns:
+        shown = planned.select("doc_id", "rule_id", F.explode("chunks").alias("c")).select("doc_id", "rule_id", "c.chunk_id", "c.text", "c.char_start").join(digests, "doc_id")
+        quotes = answered.select("doc_id", "rule_id", F.posexplode("evidence").alias("pos", "e")).select("doc_id", "rule_id", "pos", "e.chunk_id", "e.quote")
+        checked = verify(quotes, shown).groupBy("doc_id", "rule_id").agg(F.bool_and(F.col("error").isNull() & acceptable(F.col("quote"))).alias("sound"), F.array_sort(F.collect_list(F.struct("locator", F.col("quote").alias("description")))).alias("evidence"))
+        out = planned.join(answered.drop("evidence"), ["doc_id", "rule_id"], "left").join(checked, ["doc_id", "rule_id"], "left")
+    else:
+        # Without quotes no text is looked at.
+        told = {"status": "string", "confidence": "double", "sound": "boolean", "evidence": "array<struct<locator:string,description:string>>"}
+        out = planned.join(answered, ["doc_id", "rule_id"], "left").withColumns({c: F.lit(None).cast(t) for c, t in told.items()})
     allowed = F.col("status").isin("pass", "warn", "info", "unverifiable", "not_applicable")
     good = allowed & (F.col("sound") | ~F.col("status").isin("pass", "warn")) & (F.col("confidence").between(0, 1) | F.col("confidence").isNull())
     status = F.when(F.col("state") == "section_missing", "not_applicable").when(F.coalesce(good, F.lit(False)), F.col("status")).otherwise("unverifiable")
