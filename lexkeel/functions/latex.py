@@ -57,6 +57,23 @@ def section_body(body: Column, title: Column) -> Column:
     return F.get(F.regexp_extract_all(body, pattern, F.lit(1)), F.lit(0))
 
 
+_SECTION = r"(?isu)\\section\*?\{([^{}]*)\}(.*?)(?=\\section\*?\{|\z)"
+
+
+def section_list(body: Column) -> tuple[Column, Column]:
+    """Arguments of all ``\\section`` commands that hold no braces, numbered, in one text for ``section_of``; and what stands behind each."""
+    names = F.transform(matches(body, _SECTION, 1), lambda a, i: F.concat(i.cast("string"), F.lit("{"), a, F.lit("}")))
+    return F.array_join(names, ""), matches(body, _SECTION, 2)
+
+
+def section_of(names: Column, bodies: Column, body: Column, title: Column) -> Column:
+    """``section_body`` from the ``section_list`` of ``body``: one short search for each title."""
+    pattern = F.concat(F.lit(r"(?isu)([0-9]++)\{[^{}]*\Q"), F.replace(title, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E[^{}]*\}"))
+    found = F.get(bodies, F.call_function("regexp_extract", names, pattern, F.lit(1)).try_cast("int"))
+    # A brace in a title may be one of the source itself.
+    return F.when(title.rlike("[{}]"), section_body(body, title)).otherwise(found)
+
+
 # ---- plain functions, for the extractor ----
 
 

@@ -192,7 +192,8 @@ def _sql() -> str:
 def thesis_rules(spark, sf_dir):
     """Every formal rule over a thesis for every document: status, severity, message and page."""
     files, protected, forbidden, logs, pages, places, typography, ranges = theses(spark, sf_dir)
-    projects = keep(P.projects(files), "projects")
+    # No finding here leads back to its place in a file, so no source map is made; a bibliography is read with its project.
+    projects = keep(P.projects(files, ["doc_id", "main", "preamble", "visible", "structural", "text", "headings", "bib_paths", "bib_declared", "error", "bib"]), "projects")
     sections = P.sections(spark, projects).join(ranges, ["doc_id", "title"], "left")
-    facts = H.facts(spark, projects, sections, files, P.bib_entries(files, projects), protected, forbidden, logs, pages, places, typography)
+    facts = H.facts(spark, projects, sections, files, None, protected, forbidden, logs, pages, places, typography)
     return H.evaluate(spark, facts).select("doc_id", "rule_id", "status", "severity", "message", "page")
