@@ -45,10 +45,12 @@ w AS (SELECT doc_id, 'Erster Teil' AS words, 'main.tex' AS path, m AS file, a -
 SELECT doc_id, words, path, lo::INT AS char_start, (lo + n)::INT AS char_end, octet_length(encode(substr(file, 1, lo)))::BIGINT AS byte_start, octet_length(encode(substr(file, 1, lo + n)))::BIGINT AS byte_end, substr(file, lo + 1, n) AS quote FROM w""")
 def source_origins(spark, sf_dir):
     """Headings, and a quote given in composed letters, traced to characters and bytes of included files with comments, macros and decomposed letters."""
-    d = docs(spark, sf_dir)
-    safe, name = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 ,.\n]", " "), F.col("doc_id").cast("string")
-    files = made_files(d, ("main.tex", F.concat(F.lit(MAIN[0]), name, F.lit(MAIN[1]), safe, F.lit(MAIN[2]))), ("part.tex", F.concat(F.lit(PART[0]), safe, F.lit(PART[1]), name, F.lit(PART[2]))))
-    projects = keep(P.projects(files), "projects")
+    # Both files and what tells whether they exist hold the text, which is made safe once.
+    d = docs(spark, sf_dir).withColumn("safe", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 ,.\n]", " "))
+    safe, name = F.col("safe"), F.col("doc_id").cast("string")
+    # Projects and origins read the same files; made for each of them, they took longer than the projects.
+    files = keep(made_files(d, ("main.tex", F.concat(F.lit(MAIN[0]), name, F.lit(MAIN[1]), safe, F.lit(MAIN[2]))), ("part.tex", F.concat(F.lit(PART[0]), safe, F.lit(PART[1]), name, F.lit(PART[2])))), "files")
+    projects = keep(P.projects(files, ["doc_id", "text", "headings", "read", "source_map"]), "projects")
     digest = source_hash(F.col("text"))
     heads = projects.select("doc_id", digest.alias("digest"), F.explode("headings").alias("h"))
     heads = heads.select("doc_id", F.col("h.title").alias("words"), locator(F.col("digest"), F.col("h.char_start"), F.col("h.char_start") + F.length("h.title")).alias("locator"))

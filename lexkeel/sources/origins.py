@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,21 +33,29 @@ def parts(locators: DataFrame, projects: DataFrame) -> DataFrame:
     own = projects.select("doc_id", source_hash(F.col("text")).alias("digest"), F.length("text").alias("total"), F.col("read").alias("files"), "source_map")
     many = asked.groupBy("doc_id").agg(F.collect_list(F.struct("locator", F.col("at.hash").alias("hash"), F.col("at.start").alias("lo"), F.col("at.end").alias("hi"))).alias("asked"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for doc, wanted, digest, total, files, spans in pdf.itertuples(index=False):
-                spans = [texscan.Span(*(s[k] for k in texscan.Span._fields)) for s in spans] if spans is not None else []
-                starts = [s.at for s in spans]
-                for w in wanted:
-                    known = w["hash"] == digest and w["hi"] is not None and w["hi"] <= total
-                    found = texscan.parts(spans, starts, w["lo"], w["hi"]) if known else []
-                    rows += [(doc, w["locator"], i, files[no], lo, hi) for i, (no, lo, hi) in enumerate(found)] or [(doc, w["locator"], 0, None, None, None)]
-            out = pd.DataFrame(rows, columns=["doc_id", "locator", "part", "path", "char_start", "char_end"])
-            yield out.astype({"char_start": "Int32", "char_end": "Int32"})
-
+            maps, names = batch.column("source_map"), texscan.Span._fields
+            every = maps.flatten()
+            # Maps stay columns of numbers; spans are made of those that a locator meets.
+            columns = [every.field(name).to_numpy(zero_copy_only=False) for name in names]
+            ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(maps).to_pylist())])
+            told = batch.select(["doc_id", "asked", "digest", "total", "files"]).to_pylist()
+            for k, r in enumerate(told):
+                at = columns[0][ends[k] : ends[k + 1]]
+                for w in r["asked"]:
+                    found = []
+                    if w["hash"] == r["digest"] and w["hi"] is not None and w["hi"] <= r["total"]:
+                        i, j = max(0, int(np.searchsorted(at, w["lo"], "right")) - 1), int(np.searchsorted(at, w["hi"], "left"))
+                        spans = [texscan.Span(*s) for s in zip(*(c[ends[k] + i : ends[k] + j].tolist() for c in columns), strict=True)]
+                        found = texscan.parts(spans, [s.at for s in spans], w["lo"], w["hi"])
+                    rows += [(r["doc_id"], w["locator"], n, r["files"][no], lo, hi) for n, (no, lo, hi) in enumerate(found)] or [(r["doc_id"], w["locator"], 0, None, None, None)]
+            yield pa.RecordBatch.from_arrays([pa.array([row[c] for row in rows], t) for c, t in enumerate(made.types)], schema=made)
+
+    made = pa.schema([("doc_id", pa.string()), ("locator", pa.string()), ("part", pa.int32()), ("path", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())])
     joined = many.join(own, "doc_id", "left")
-    return joined.mapInPandas(run, "doc_id string, locator string, part int, path string, char_start int, char_end int")
+    return joined.mapInArrow(run, "doc_id string, locator string, part int, path string, char_start int, char_end int")
 
 
 def resolve(locators: DataFrame, projects: DataFrame, files: DataFrame, max_chars: int = QUOTE_CHARS) -> DataFrame:

@@ -7,6 +7,7 @@ Arrow function since includes nest. What rules need is kept as one row a project
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 from collections.abc import Callable, Collection, Iterator
 
@@ -100,7 +101,7 @@ _ARROW = {
 
 def _map_array(maps: list[list[texscan.Span]]) -> pa.Array:
     """Source maps as a column, by numbers and not span by span."""
-    every = np.array([s for spans in maps for s in spans], np.int32).reshape(-1, len(texscan.Span._fields))
+    every = np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable(maps)), np.int32).reshape(-1, len(texscan.Span._fields))
     spans = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in every.T], fields=list(_SPAN))
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, maps)]), pa.int32()), spans)
 
@@ -156,7 +157,7 @@ def _assembled(contents: dict[str, bytes], main: str, asked: Collection[str] = t
     spans = []
     if mapped:
         # From the plain text over the expanded source and the composed files to the files as they are.
-        moved = [texscan.Span(at, n, no, offset + start, m) for at, n, no, offset, m in reading.spans] if start else reading.spans
+        moved = [texscan._span((at, n, no, offset + start, m)) for at, n, no, offset, m in reading.spans] if start else reading.spans
         files = {no: [texscan.Span(at, n, no, offset, m) for at, n, _, offset, m in maps[path]] for no, path in enumerate(got.read)}
         spans = texscan.compose(texscan.compose(moved, {0: got.spans}), files)
     named = latex.bibliography_files(full, main)
